@@ -5,6 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Documents handled at once inside a Python worker, so that working memory follows texts and not Arrow batches.
-SLICE_ROWS, SLICE_BYTES = 512, 8 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +55,7 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 def slices(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of bounded count and bounded text size (one row at least)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and (i - start >= SLICE_ROWS or size + n > SLICE_BYTES):

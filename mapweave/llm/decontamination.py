@@ -18,6 +18,7 @@ import re
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -118,7 +119,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
             out = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sum(b - a for a, b in r) for _, r, _ in rows], pa.int64()), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))]
             out.append(pa.array([[{"start": a, "end": b} for a, b in (r if only_hits else spans(t, r))] for t, (_, r, _) in zip(texts, rows)], pa.list_(span)))
             batch = pa.RecordBatch.from_arrays([*part.columns[1:], *out], [*names, *COLUMNS])
-            return batch.filter(pa.compute.greater(batch.column(len(names) + 1), 0)) if only_hits else batch
+            return batch.filter(pc.greater(batch.column(len(names) + 1), 0)) if only_hits else batch
 
         ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds)
         return map_slices(frame, 0, ", ".join(x for x in (ddl, *(f"{c} {t}" for c, t in COLUMNS.items())) if x), work)

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from mapweave.llm import decontamination, sentencepiece_codec
+from mapweave.llm import decontamination, language_id, quality, sentencepiece_codec
 from mapweave.llm.common import residue, table  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,3 +39,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op6_sentencepiece": op6_sentencepiece, "op7_decontamination": op7_decontamination}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(residue("doc_id", 3) == 1, F.lit(False))
+    out = language_id.identify(docs, usable=residue("doc_id", 3) != 1)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "shares")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.rank(docs, table(spark, sf_dir, "labels"), usable=residue("doc_id", 4) != 2)
+    return out.select("doc_id", F.coalesce(residue("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+QUERIES |= {"op3_language_id": op3_language_id, "op5_quality": op5_quality}
