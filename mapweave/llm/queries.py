@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from mapweave.llm import decontamination, language_id, quality, sentencepiece_codec
+from mapweave.llm import decontamination, language_id, quality, sentencepiece_codec, topk
 from mapweave.llm.common import residue, table  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +55,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_language_id": op3_language_id, "op5_quality": op5_quality}
+
+
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES["op1_topk"] = op1_topk
+ORACLE_SQL["op1_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
