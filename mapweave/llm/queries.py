@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from mapweave.llm import decontamination, language_id, quality, sentencepiece_codec, sharding, topk, warc
+from mapweave.llm import decontamination, language_id, quality, secret_scan, sentencepiece_codec, sharding, topk, warc
 from mapweave.llm.common import residue, table  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +91,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_sharding"] = op10_sharding
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_candidates", F.size("findings").alias("n_findings"), "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+QUERIES["op9_secrets"] = op9_secrets

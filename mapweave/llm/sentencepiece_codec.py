@@ -10,6 +10,7 @@ independent. Extra columns pass through; the two new columns replace columns of
 """
 
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -21,7 +22,7 @@ from mapweave.llm.common import free_name, slices
 
 SPACE = "▁"
 #: Units kept in a generation of the cache, and the longest unit that is kept.
-CACHE_UNITS, CACHE_CHARS = 300_000, 64
+CACHE_UNITS, CACHE_CHARS = 450_000, 48
 _NORMAL, _USER, _UNUSED = 1, 4, 5
 _UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
@@ -43,6 +44,8 @@ class Codec:
             if p.type == 6:
                 self.bytes[int(p.piece[3:5], 16)] = i
                 self.byte_of[i] = int(p.piece[3:5], 16)
+        #: What each id decodes to; bytes outside ASCII as lone surrogates, which are put together afterwards.
+        self.glyphs = [bytes([self.byte_of[i]]).decode("ascii", "surrogateescape") if i in self.byte_of else p.replace(SPACE, " ") for i, p in enumerate(self.pieces)]
         spec = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or spec.name != "identity" or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or len(self.byte_of) != 256 or any(SPACE in p.lstrip(SPACE) for p in self.scores) or any("\n" in p for p in self.scores):
             raise ValueError("only BPE models with byte fallback, no normalisation and pieces that begin words are supported")
@@ -54,8 +57,8 @@ class Codec:
             if self.merged(piece) == [piece]:  # no other piece is ever the result of merging
                 self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.young: dict[str, tuple[bytes, str]] = {}
-        self.old: dict[str, tuple[bytes, str]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short text by plain merging: always the best scored neighbours, the leftmost of equals."""
@@ -117,82 +120,82 @@ class Codec:
         scores = self.scores
         return left not in scores or right not in scores or self.compatible(left, right)
 
-    def unit(self, key: str) -> tuple[bytes, str]:
-        """The ids, as bytes of int32, and the decoded text of a unit. A key is a unit's text; it begins with a line feed, or else
-        stands for a space and the key."""
+    def unit(self, key: str) -> bytes:
+        """The ids of a unit, as bytes of int32. A key is a unit's text; it begins with a line feed, or else stands for a space and the
+        key."""
         text = key if key[:1] == "\n" else SPACE + key.replace(" ", SPACE)
-        cuts = [i for i, (a, b) in enumerate(zip(text, text[1:]), 1) if a + b not in self.joints]
+        joints = self.joints
+        cuts = [i for i, x in enumerate(map(str.__add__, text, text[1:]), 1) if x not in joints]
         if cuts:
-            found = [self.kept(text[i:j], self.part) for i, j in zip([0, *cuts], [*cuts, len(text)])]
-            return b"".join([v[0] for v in found]), "".join([v[1] for v in found])
+            return b"".join([self.kept("\0" + text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)])])
         return self.part(text)
 
-    def part(self, text: str) -> tuple[bytes, str]:
+    def part(self, text: str) -> bytes:
+        """The ids of a text without such cuts."""
         ids: list[int] = []
         for piece in self.backtrack(text):
             if (i := self.ids.get(piece)) is not None:
                 ids.append(i)
             else:
                 ids += [self.bytes[b] for b in piece.encode()]
-        return np.array(ids, dtype=np.int32).tobytes(), self.decode_unit(ids)
-
-    def decode_unit(self, ids: list[int]) -> str:
-        """The text of ids, with the space before the first word; bytes that are no UTF-8 become U+FFFD, one each."""
-        out, run = [], bytearray()
-        for i in [*ids, -1]:
-            if (b := self.byte_of.get(i)) is not None:
-                run.append(b)
-                continue
-            while run:
-                for n in (1, 2, 3, 4):
-                    try:
-                        out.append(bytes(run[:n]).decode())
-                        break
-                    except UnicodeDecodeError:
-                        pass
-                else:
-                    n = 1
-                    out.append("�")
-                del run[:n]
-            if i >= 0:
-                out.append(self.pieces[i].replace(SPACE, " "))
-        return "".join(out)
-
-    def decode(self, ids: list[int]) -> str:
-        text = self.decode_unit(ids)
-        return text.removeprefix(" ") if ids and ids[0] not in self.byte_of else text
+        return array("i", ids).tobytes()
+
+    def kept(self, name: str) -> bytes:
+        """The ids of a unit, or of a part if a NUL comes first, from the cache where it can be."""
+        value = self.young.get(name) or self.old.get(name)
+        if value is None:
+            value = self.part(name[1:]) if name[:1] == "\0" else self.unit(name)
+        if len(name) <= CACHE_CHARS:
+            if len(self.young) >= CACHE_UNITS:
+                self.old, self.young = self.young, {}
+            self.young[name] = value
+        return value
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """The ids, as bytes of int32, and what they decode to."""
+    def encode(self, text: str | None) -> bytes:
+        """The ids, as bytes of int32."""
         if not text:
-            return b"", ""
+            return b""
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        if "  " in text or text[0] == " ":
-            keys = [u if u[0] == "\n" else u[1:] for u in _UNIT.findall(" " + text)]
-        else:
-            keys = text.replace("\n", " \n").split(" ")
-        if "\0" in text:
-            keys = [u if u[0] == "\n" else u[1:] for u in _UNIT.findall(" " + text)]
-            found = [self.unit(u) for u in keys]
-        else:
-            found = list(map(self.young.get, keys))
+        if "  " in text or text[0] == " " or "\0" in text:
+            return b"".join([self.unit(u if u[0] == "\n" else u[1:]) for u in _UNIT.findall(" " + text)])
+        keys = text.replace("\n", " \n").split(" ")
+        found = list(map(self.young.get, keys))
         if None in found:
             for i, v in enumerate(found):
                 if v is None:
-                    found[i] = self.kept(keys[i], self.unit)
-        return b"".join([v[0] for v in found]), "".join([v[1] for v in found])[1:]
-
-    def kept(self, key: str, make) -> tuple[bytes, str]:
-        """`make(key)`, from the cache where it can be. Keys of parts begin with the sign for a space or follow other characters; a
-        leading tag tells the latter from units."""
-        name = key if make == self.unit else "\0" + key
-        value = self.young.get(name) or self.old.get(name) or make(key)
-        if len(key) <= CACHE_CHARS:
-            if len(self.young) >= CACHE_UNITS:
-                self.old, self.young = self.young, {}
-            self.young[name] = value
-        return value
+                    found[i] = self.kept(keys[i])
+        return b"".join(found)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids, without the space before the first word; bytes that are no UTF-8 become U+FFFD, one each."""
+        text = "".join(map(self.glyphs.__getitem__, ids))
+        if not text.isascii():
+            try:
+                text.encode()
+            except UnicodeEncodeError:
+                text = _joined(text.encode("utf-8", "surrogateescape"))
+        return text[1:] if text[:1] == " " and ids[0] not in self.byte_of else text
+
+
+def _joined(raw: bytes) -> str:
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        pass
+    out, at = [], 0
+    while at < len(raw):
+        for n in (1, 2, 3, 4):
+            try:
+                out.append(raw[at : at + n].decode())
+                break
+            except UnicodeDecodeError:
+                pass
+        else:
+            n = 1
+            out.append("\ufffd")
+        at += n
+    return "".join(out)
 
 
 _codecs: dict[int, Codec] = {}
@@ -219,8 +222,9 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", ids: str
             for part in slices(batch, 0):
                 out = [codec.encode(t) for t in part.column(0).to_pylist()]
                 offsets = np.zeros(len(out) + 1, dtype=np.int32)
-                np.cumsum([len(b) // 4 for b, _ in out], out=offsets[1:])
-                values = pa.array(np.frombuffer(b"".join([b for b, _ in out]), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), values), pa.array([t for _, t in out], pa.string())], [*kept, ids, decoded])
+                np.cumsum([len(b) // 4 for b in out], out=offsets[1:])
+                values = pa.array(np.frombuffer(b"".join(out), dtype=np.int32))
+                texts = [codec.decode(array("i", b).tolist()) for b in out]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(texts, pa.string())], [*kept, ids, decoded])
 
     return frame.mapInArrow(run, schema)
