@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from mapweave.llm import decontamination, language_id, quality, secret_scan, sentencepiece_codec, sharding, topk, warc
+from mapweave.llm import decontamination, jaccard_join, language_id, quality, secret_scan, sentencepiece_codec, sharding, topk, warc
 from mapweave.llm.common import residue, table  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
@@ -99,3 +99,10 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_secrets"] = op9_secrets
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op8_jaccard_join"] = op8_jaccard_join
