@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from mapweave.llm import decontamination, jaccard_join, language_id, quality, secret_scan, sentencepiece_codec, sharding, topk, warc
+from mapweave.llm import decontamination, jaccard_join, language_id, lm_scoring, quality, secret_scan, sentencepiece_codec, sharding, topk, warc
 from mapweave.llm.common import residue, table  # noqa: F401
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,3 +106,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm_scoring.score(docs, piece_model(), residue("doc_id", 10) != 0)
+    return out.select("doc_id", F.coalesce(residue("doc_id", 10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES["op4_lm_scoring"] = op4_lm_scoring
