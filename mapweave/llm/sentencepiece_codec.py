@@ -22,7 +22,7 @@ from mapweave.llm.common import free_name, slices
 
 SPACE = "▁"
 #: Units kept in a generation of the cache, and the longest unit that is kept.
-CACHE_UNITS, CACHE_CHARS = 450_000, 48
+CACHE_UNITS, CACHE_CHARS = 750_000, 40
 _NORMAL, _USER, _UNUSED = 1, 4, 5
 _UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 
@@ -127,7 +127,9 @@ class Codec:
         joints = self.joints
         cuts = [i for i, x in enumerate(map(str.__add__, text, text[1:]), 1) if x not in joints]
         if cuts:
-            return b"".join([self.kept("\0" + text[i:j]) for i, j in zip([0, *cuts], [*cuts, len(text)])])
+            head = text[: cuts[0]]  # mostly a word without the sign after it, which is a unit itself
+            first = self.kept(head[1:]) if head[:1] == SPACE and head[1:2] not in ("\n", "\0") else self.kept("\0" + head)
+            return first + b"".join([self.kept("\0" + text[i:j]) for i, j in zip(cuts, [*cuts[1:], len(text)])])
         return self.part(text)
 
     def part(self, text: str) -> bytes:
