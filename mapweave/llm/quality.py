@@ -9,7 +9,7 @@ computed once for all rows, from whole texts, and stored.
 
 Results: null texts count as empty and get a score as well. With no labels, or labels of one kind, all scores are 0.5 and nothing is
 predicted good. Labels that are null, of other values or of unknown ids are ignored; repeated labels count repeatedly. Equal texts get
-equal scores. Extra columns pass through, and the new columns replace columns of the same name.
+equal scores. Extra columns other than the text pass through, and the new columns replace columns of the same name.
 """
 
 import numpy as np
@@ -95,10 +95,11 @@ def learn(x: np.ndarray, y: np.ndarray, cut: float, pairs: int = 60_000, ridge:
 
 
 def rank(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", label: str = "quality", usable=None, cut: float = 0.7, train_rows: int = 20_000) -> DataFrame:
-    """All columns of `docs` and score, predicted (1 if score >= cut). usable: rows of `docs` whose labels may be learned."""
+    """All columns of `docs` but the text, which is not stored, and score, predicted (1 if score >= cut). usable: rows of `docs` whose labels
+    may be learned."""
     base = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in COLUMNS])
     name, flag = free_name(base, "features"), free_name(base, "usable")
-    slim = base if text == row_id else base.withColumn(flag, F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)))
+    slim = base.withColumn(flag, F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)))
     full = stored(with_features(slim, text, name).drop(text))  # the text is joined to nothing, so it is not stored
     said = labels.where(F.col(label).isin(0, 1) & F.col(row_id).isNotNull()).select(F.col(row_id).alias("l_id"), F.col(label).cast("int").alias("l_y"))
     rows = full.where(F.col(flag)).select(F.col(row_id).alias("d_id"), F.col(name).alias("x")).join(said, F.col("d_id") == F.col("l_id"))
