@@ -12,13 +12,15 @@ by the remaining lengths or sizes. Groups beyond `group_shingles` are cut into b
 and components of the links found give the groups.
 
 Frequencies cover all documents; they only choose the order, so the `HINTS` most frequent are kept. Hashes of 64 bits stand for
-shingles and of 128 bits for texts.
+words and shingles and of 128 bits for texts.
 
 Results: component_id is the smallest id reachable by links. Texts that are null, empty or white space have no shingles, link with nothing and
 keep their own id. Rows with a null id take part, but are never a component's id unless all its ids are null. Repeated rows are copies. Extra
 columns are not carried along (join by id).
 """
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -28,54 +30,100 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import map_slices, slices, stored
 from mapweave.llm.components import components, forest
 
-#: Common shingles that are ordered by frequency, and the number of texts from which a shingle is common.
-HINTS, COMMON = 400_000, 8
+#: Common shingles that are ordered by frequency, and the number of texts beyond which a shingle is common.
+HINTS, COMMON = 1_000_000, 2
+#: Texts in candidate groups whose groups' names are sent to all executors (16 bytes each); beyond, the join is left to a shuffle.
+BROADCAST_TEXTS = 500_000
 #: Shingles of a task's buffer, for a bucket, and of a candidate group that one task joins.
-BUFFER, BUCKET, GROUP = 1_000_000, 2_000_000, 2_000_000
+BUFFER, BUCKET, GROUP = 500_000, 1_000_000, 2_000_000
 #: Bits of the filter that keeps documents outside all candidate groups from being shuffled.
 FILTER_BITS = 25
-_WORDS_KEPT = 400_000
-_words: dict[bytes, int] = {}
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
-
-
-def _word(w: bytes) -> int:
-    if len(_words) >= _WORDS_KEPT:
-        _words.clear()
-    v = _words[w] = xxhash.xxh64_intdigest(w)
-    return v
-
-
-def key_of(words: list[bytes]) -> tuple[int, int]:
+#: Bytes hashed at once; a longer word is hashed whole.
+_BYTES = 1 << 20
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_P, _P_INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_tables: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random number for each byte (A-Z as a-z), and n powers of an odd number and of its inverse."""
+    if len(_tables.get("up", ())) < n:
+        codes = np.random.default_rng(1234).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        codes[65:91] = codes[97:123]
+        _tables["codes"] = codes
+        for name, base in (("up", _P), ("down", _P_INVERSE)):
+            out = np.full(n, base, dtype=np.uint64)
+            out[0] = 1
+            _tables[name] = np.multiply.accumulate(out)
+    return _tables["codes"], _tables["up"], _tables["down"]
+
+
+def _hashed(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and the hashes of the words of some bytes that begin and end with white space."""
+    codes, up, down = _powers(max(len(raw), _BYTES + 1))
+    gap = _SPACE[raw]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    total = np.cumsum(codes[raw] * up[: len(raw)])
+    h = (total[end - 1] - total[start - 1]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return start, h ^ (h >> np.uint64(29))
+
+
+def word_hashes(texts: list[bytes]) -> list[np.ndarray]:
+    """A 64-bit hash for each word of each text."""
+    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    starts, hashes, at = [], [], 0
+    while at < len(raw) - 1:
+        stop = min(len(raw), at + _BYTES)
+        if stop < len(raw):
+            gaps = np.flatnonzero(_SPACE[raw[at + 1 : stop]])
+            if len(gaps):
+                stop = at + 2 + int(gaps[-1])
+            else:  # a long word
+                while stop < len(raw) and not _SPACE[raw[stop - 1]]:
+                    more = np.flatnonzero(_SPACE[raw[stop : stop + _BYTES]])
+                    stop = stop + 1 + int(more[0]) if len(more) else min(len(raw), stop + _BYTES)
+        s, h = _hashed(raw[at:stop])
+        starts.append(s + at)
+        hashes.append(h)
+        at = stop - 1
+    hashes = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    cuts = np.searchsorted(np.concatenate(starts) if starts else [], np.cumsum([len(t) + 1 for t in texts])[:-1]) if texts else []
+    return np.split(hashes, cuts) if texts else []
+
+
+def key_of(words: np.ndarray) -> tuple[int, int]:
     """A 128-bit hash of a sequence of words, as two signed numbers."""
-    d = xxhash.xxh3_128_digest(b" ".join(words))
+    d = xxhash.xxh3_128_digest(words.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def shingles(words: list[bytes], width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a sequence of words."""
-    if not words:
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of a sequence of words' hashes."""
+    if not len(h):
         return np.zeros(0, dtype=np.uint64)
-    found = list(map(_words.get, words))
-    if None in found:
-        found = [_word(w) if v is None else v for w, v in zip(words, found)]
-    h = np.array(found, dtype=np.uint64)
     k = min(width, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, dtype=np.uint64)
     for i in range(k):
         out += h[i : i + n] * (_FACTORS[i % len(_FACTORS)] + np.uint64(2 * (i // len(_FACTORS))))
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(out ^ (out >> np.uint64(32)))
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _split(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def _words(part: pa.RecordBatch) -> list[np.ndarray]:
+    return word_hashes([t or b"" for t in part.column(0).to_pylist()])
 
 
 def _texts(docs: DataFrame, text: str, *cols) -> DataFrame:
@@ -88,15 +136,14 @@ def _bucketed(tokens: np.ndarray, bits: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, [*cuts[1:], len(tokens)])]
 
 
-def _buffered(batches, width, percent, slack, work, seen_most=1_000_000):
+def _buffered(batches, width, percent, slack, work, seen_most=500_000):
     """Calls work(sets, keys, sizes) with prefixes (in order of hash, `slack` times as long) of new texts, BUFFER shingles at a time."""
     seen: set[tuple[int, int]] = set()
     sets, keys, n = [], [], 0
     for batch in batches:
         for part in slices(batch, 0):
-            for t in part.column(0).to_pylist():
-                words = _split(t)
-                if not words or (k := key_of(words)) in seen:
+            for words in _words(part):
+                if not len(words) or (k := key_of(words)) in seen:
                     continue
                 if len(seen) >= seen_most:
                     seen.clear()
@@ -171,6 +218,10 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
         return np.concatenate([rare, back[: p - len(rare)]])
 
     def listed(batches):
+        from pyspark import TaskContext
+
+        turn = itertools.count(TaskContext.get().partitionId() * 7)
+
         def work(sets, keys):
             heads = [ordered(s) for s in sets]
             n = [len(x) for x in heads]
@@ -180,7 +231,8 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
             tokens, key, size = tokens[order], key[order], size[order]
             edges, keep = chained(tokens, key, size)
             tokens, key, size = tokens[keep], key[keep], size[keep]
-            yield row(-1, b"", edges[0].tobytes(), edges[1].tobytes())
+            if edges.shape[1]:  # they need no certain bucket
+                yield row(next(turn) % (1 << bits), b"", edges[0].tobytes(), edges[1].tobytes())
             for b, part in enumerate(_bucketed(tokens, bits)):
                 if part.stop > part.start:
                     yield row(b, tokens[part].tobytes(), key[part].tobytes(), size[part].astype(np.uint32).tobytes())
@@ -209,21 +261,30 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
         return pairs, keep
 
     def linked(rows: pa.Table) -> pa.Table:
-        get = lambda c, t: np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=t)
-        tokens, key, size = get("tokens", np.uint64), get("keys", np.int64), get("sizes", np.uint32).astype(np.int64)
-        order = np.lexsort((key, size, tokens))
-        a, b = forest(*chained(tokens[order], key[order], size[order])[0])
+        tokens, keys, sizes = [], [], []
+        edges = [np.zeros((2, 0), dtype=np.int64)]
+        for t, k, n in zip(*(rows.column(c).to_pylist() for c in ("tokens", "keys", "sizes"))):
+            k = np.frombuffer(k, dtype=np.int64)
+            if t:
+                tokens.append(np.frombuffer(t, dtype=np.uint64))
+                keys.append(k)
+                sizes.append(np.frombuffer(n, dtype=np.uint32).astype(np.int64))
+            else:
+                edges.append(np.stack([k, np.frombuffer(n, dtype=np.int64)]))
+        if tokens:
+            tokens, keys, sizes = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
+            order = np.argsort(tokens, kind="stable")
+            tokens = tokens[order]
+            again = np.r_[False, tokens[1:] == tokens[:-1]]
+            again[:-1] |= again[1:]  # only what two texts have
+            tokens, keys, sizes = tokens[again], keys[order][again], sizes[order][again]
+            order = np.lexsort((keys, sizes, tokens))
+            edges.append(chained(tokens[order], keys[order], sizes[order])[0])
+        a, b = forest(*np.concatenate(edges, axis=1))
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
-    def opened(batches):
-        for batch in batches:
-            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = forest(np.frombuffer(k, dtype=np.int64), np.frombuffer(s, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = stored(_texts(docs, text).mapInArrow(listed, "bucket int, tokens binary, keys binary, sizes binary"))
-    across = rows.where("bucket >= 0").groupBy("bucket").applyInArrow(linked, "a long, b long")
-    return across.union(rows.where("bucket < 0").select("keys", "sizes").mapInArrow(opened, "a long, b long"))
+    rows = _texts(docs, text).mapInArrow(listed, "bucket int, tokens binary, keys binary, sizes binary")
+    return rows.groupBy("bucket").applyInArrow(linked, "a long, b long")
 
 
 class Trie:
@@ -377,15 +438,14 @@ def _members(docs: DataFrame, text: str, width: int, vertices: DataFrame) -> Dat
         for batch in batches:
             for part in slices(batch, 0):
                 out = []
-                for t in part.column(0).to_pylist():
-                    w = _split(t)
-                    if not w:
+                for w in _words(part):
+                    if not len(w):
                         continue
                     k = key_of(w)
                     p = k[0] & ((1 << FILTER_BITS) - 1)
                     if k in seen or not int(sent.value[p >> 6]) >> (p & 63) & 1:
                         continue
-                    if len(seen) >= 1_000_000:
+                    if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(k)
                     s = shingles(w, width)
@@ -416,8 +476,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     def keyed(part: pa.RecordBatch) -> pa.RecordBatch:
         k1, k2, n = [], [], []
-        for t in part.column(0).to_pylist():
-            w = _split(t)
+        for w in _words(part):
             a, b = key_of(w)
             k1.append(a)
             k2.append(b)
@@ -432,8 +491,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     groups = stored(components(_candidates(docs, text, width, percent, bits, common)))
     sized = groups.join(keys.select("key", "n").groupBy("key").agg(F.max("n").alias("n")), F.col("v") == F.col("key")).groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
     sized = stored(sized.withColumn("blocks", F.when(F.col("total") > group_shingles, F.ceil(2 * F.col("total") / group_shingles)).otherwise(1).cast("int")))
-    members = _members(docs, text, width, groups.select("v")).join(groups, F.col("key") == F.col("v")).join(sized.select(F.col("root").alias("r2"), "blocks"), F.col("root") == F.col("r2"))
-    members = stored(members.select("root", "blocks", "key", "key2", "set"))
+    names = groups.join(sized.select(F.col("root").alias("r2"), "blocks"), F.col("root") == F.col("r2")).select("v", "root", "blocks")
+    few, large = groups.count() <= BROADCAST_TEXTS, sized.where("blocks > 1").limit(1).count() > 0
+    members = _members(docs, text, width, groups.select("v")).join(F.broadcast(names) if few else names, F.col("key") == F.col("v"))
+    members = members.select("root", "blocks", "key", "key2", "set")
+    members = stored(members) if large else members
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total // (4 * GROUP)))
 
     def whole(batches):
@@ -448,7 +510,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     small = members.where("blocks = 1").select("root", "key", "key2", "set").repartition(parts, "root").sortWithinPartitions("root")
     labels = small.mapInArrow(whole, "key long, key2 long, label long")
-    if sized.where("blocks > 1").limit(1).count():
+    if large:
         labels = labels.union(_blocked(members.where("blocks > 1"), percent))
     labels = stored(labels.withColumnsRenamed({"key": "l1", "key2": "l2"}))
     full = keys.join(labels, (F.col("key") == F.col("l1")) & (F.col("key2") == F.col("l2")), "left")
