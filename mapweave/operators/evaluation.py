@@ -53,7 +53,7 @@ def evaluate(gold: DataFrame, predicted: DataFrame, cells: DataFrame, covered: D
 def coverage(gold: DataFrame, cells: DataFrame) -> DataFrame:
     """(a, b, status): covered if both values occur in one row, split if both occur at all, else absent."""
     g = gold_pairs(gold)
-    rows = cells.where("value <> ''").select("table_idx", "row_idx", F.col("value").alias("v")).join(values_of(g), "v", "left_semi").distinct()
+    rows = cells.where("value <> ''").select("table_idx", "row_idx", F.col("value").alias("v")).join(values_of(g), "v", "left_semi").select("table_idx", "row_idx", "v").distinct()
     met = g.join(rows.toDF("t", "i", "a"), "a").join(rows.toDF("t", "i", "b"), ["b", "t", "i"]).select("a", "b").distinct().withColumn("met", F.lit(True))
     seen = _both(g, rows.select("v").distinct()).withColumn("seen", F.lit(True))
     out = g.join(met, ["a", "b"], "left").join(seen, ["a", "b"], "left")
@@ -63,7 +63,7 @@ def coverage(gold: DataFrame, cells: DataFrame) -> DataFrame:
 def cover_tables(gold: DataFrame, cells: DataFrame) -> DataFrame:
     """(table_idx, pairs): tables with a row that holds both sides of a gold pair, and how many such pairs."""
     g = gold_pairs(gold)
-    rows = cells.where("value <> ''").select("table_idx", "row_idx", F.col("value").alias("v")).join(values_of(g), "v", "left_semi").distinct()
+    rows = cells.where("value <> ''").select("table_idx", "row_idx", F.col("value").alias("v")).join(values_of(g), "v", "left_semi").select("table_idx", "row_idx", "v").distinct()
     met = g.join(rows.toDF("t", "i", "a"), "a").join(rows.toDF("t", "i", "b"), ["b", "t", "i"])
     return met.groupBy(F.col("t").alias("table_idx")).agg(F.countDistinct("a", "b").alias("pairs"))
 

@@ -88,7 +88,7 @@ def load_wikipedia(spark: SparkSession, path: str, most: int | None = 5000) -> D
     rows = _placed(spark.read.text(path), "value").withColumn("r", F.from_json("line", schema)).where(F.size("r.tableData") > 0)
     width = F.array_min(F.transform("r.tableData", lambda x: F.size(x)))  # columns end with the shortest row
     cols = F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform("r.tableData", lambda x: wiki_clean(F.coalesce(F.get(x, i)["text"], F.lit(""))))))
-    out = rows.select("table_idx", F.col("line").alias("meta"), F.filter(F.coalesce(cols, F.array()), wiki_column_kept).alias("columns")).where(F.size("columns") > 0)
+    out = rows.select("table_idx", F.col("line").alias("meta"), F.filter(F.coalesce(cols, F.array()), lambda c: wiki_column_kept(c)).alias("columns")).where(F.size("columns") > 0)
     return out if most is None else out.orderBy("table_idx").limit(most)
 
 
