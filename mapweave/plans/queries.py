@@ -318,12 +318,22 @@ def greedy_partition(spark, sf_dir):
 
 
 # with the default threshold no conflict blocks a merge inside a component, so that partitions are components
-MAPS = EXACT + ROOTS + """, mp AS (SELECT root AS partition, l, r, count(*) AS support FROM roots JOIN cp ON cp.cand = v GROUP BY ALL
+_TAIL = """, mp AS (SELECT root AS partition, l, r, count(*) AS support FROM roots JOIN cp ON cp.cand = v GROUP BY ALL
 ), maps AS (SELECT partition, count(*) AS size, (SELECT count(*) FROM roots WHERE root = partition) AS num_source_tables FROM mp GROUP BY partition
 ), res AS (SELECT partition, l, max(r) AS r FROM mp GROUP BY ALL
 ), maj AS (SELECT partition, l, r, support FROM mp QUALIFY row_number() OVER (PARTITION BY partition, l ORDER BY support DESC, r) = 1
 )"""
+MAPS = EXACT + ROOTS + _TAIL
 M = "WITH RECURSIVE " + MAPS
+# resolution sees all candidates of a column pair as one mapping: there the two codings of regions conflict
+GROUPED = COARSE + ", roots AS (SELECT cand AS v, CAST(left_col * 1000 + right_col AS BIGINT) AS root FROM cands)" + _TAIL
+G = "WITH " + GROUPED
+
+
+def _grouped(spark, sf_dir):
+    cands, pairs = _coarse(spark, sf_dir)
+    parts = cands.select("cand", (F.col("left_col") * 1000 + F.col("right_col")).cast("long").alias("partition"))
+    return cands, pairs, parts, checkpointed(S.mappings(parts, pairs))
 
 
 @query(f"{M} SELECT partition, l, r FROM mp")
@@ -336,69 +346,69 @@ def synthesis_report(spark, sf_dir):
     return S.report(_maps(spark, sf_dir)[3]).withColumn("mean_size", F.round("mean_size", 9))
 
 
-@query(f"{M} SELECT partition, l, string_agg(r, '|' ORDER BY r) AS rights FROM mp GROUP BY ALL HAVING count(*) > 1")
+@query(f"{G} SELECT partition, l, string_agg(r, '|' ORDER BY r) AS rights FROM mp GROUP BY ALL HAVING count(*) > 1")
 def find_conflicts(spark, sf_dir):
-    return R.find_conflicts(R.exploded(_maps(spark, sf_dir)[3])).select("partition", "l", F.array_join("rights", "|").alias("rights"))
+    return R.find_conflicts(R.exploded(_grouped(spark, sf_dir)[3])).select("partition", "l", F.array_join("rights", "|").alias("rights"))
 
 
-@query(f"{M} SELECT partition, l, r FROM res")
+@query(f"{G} SELECT partition, l, r FROM res")
 def resolve_conflicts(spark, sf_dir):
-    return R.resolve(R.exploded(_maps(spark, sf_dir)[3]))
+    return R.resolve(R.exploded(_grouped(spark, sf_dir)[3]))
 
 
-@query(f"""{M}, n AS (SELECT partition, count(*) AS k FROM res GROUP BY partition)
+@query(f"""{G}, n AS (SELECT partition, count(*) AS k FROM res GROUP BY partition)
 SELECT count(*) AS mappings, count(*) FILTER (size > k) AS with_conflicts, CAST(sum(size - k) AS BIGINT) AS removed, CAST(sum(k) AS BIGINT) AS kept FROM n JOIN maps USING (partition)""")
 def resolution_report(spark, sf_dir):
-    rows = R.exploded(_maps(spark, sf_dir)[3])
+    rows = R.exploded(_grouped(spark, sf_dir)[3])
     return R.report(R.nested(R.resolve(rows), rows))
 
 
-@query(f"{M} SELECT partition, l, r, support FROM mp")
+@query(f"{G} SELECT partition, l, r, support FROM mp")
 def pair_support(spark, sf_dir):
-    _, pairs, parts, _ = _maps(spark, sf_dir)
+    _, pairs, parts, _ = _grouped(spark, sf_dir)
     return R.pair_support(parts, pairs)
 
 
-@query(f"{M} SELECT partition, l, r, support FROM maj")
+@query(f"{G} SELECT partition, l, r, support FROM maj")
 def majority_vote(spark, sf_dir):
-    _, pairs, parts, maps = _maps(spark, sf_dir)
+    _, pairs, parts, maps = _grouped(spark, sf_dir)
     return R.majority(R.exploded(maps), R.pair_support(parts, pairs))
 
 
-@query(f"""{M}, n AS (SELECT partition, count(*) AS k FROM maj GROUP BY partition)
+@query(f"""{G}, n AS (SELECT partition, count(*) AS k FROM maj GROUP BY partition)
 SELECT count(*) AS mappings, count(*) FILTER (size > k) AS with_conflicts, CAST(sum(size - k) AS BIGINT) AS removed, CAST(sum(k) AS BIGINT) AS kept FROM n JOIN maps USING (partition)""")
 def majority_report(spark, sf_dir):
-    _, pairs, parts, maps = _maps(spark, sf_dir)
+    _, pairs, parts, maps = _grouped(spark, sf_dir)
     rows = R.exploded(maps)
     return R.report(R.nested(R.majority(rows, R.pair_support(parts, pairs)), rows))
 
 
-@query(f"""{M}, cf AS (SELECT partition, l FROM mp GROUP BY ALL HAVING count(*) > 1)
+@query(f"""{G}, cf AS (SELECT partition, l FROM mp GROUP BY ALL HAVING count(*) > 1)
 SELECT count(*) AS lefts, (SELECT count(*) FROM cf) AS conflicting, count(a.r) AS kept_a, count(b.r) AS kept_b, count(*) FILTER (a.r IS DISTINCT FROM b.r) AS disagreements FROM res a FULL JOIN maj b USING (partition, l)""")
 def resolver_compare(spark, sf_dir):
-    _, pairs, parts, maps = _maps(spark, sf_dir)
+    _, pairs, parts, maps = _grouped(spark, sf_dir)
     rows = R.exploded(maps)
     return R.compare(rows, R.resolve(rows), R.majority(rows, R.pair_support(parts, pairs)))
 
 
-CONF = MAPS + """, th AS (SELECT root AS partition, l, r, avg(theta) AS avg_theta FROM roots JOIN cp ON cp.cand = v JOIN cands c ON c.cand = v GROUP BY ALL
+CONF = GROUPED + """, th AS (SELECT root AS partition, l, r, avg(theta) AS avg_theta FROM roots JOIN cp ON cp.cand = v JOIN cands c ON c.cand = v GROUP BY ALL
 ), conf AS (SELECT m.*, res.r IS NOT NULL AS survived, greatest(0.0, least(1.0, 0.5 * support / max(support) OVER (PARTITION BY partition) + 0.3 * greatest(0.0, least(1.0, (avg_theta - 0.95) / 0.05))
   + 0.2 * CASE WHEN res.r IS NOT NULL THEN 1.0 ELSE 0.3 END)) AS raw FROM mp m JOIN th USING (partition, l, r) LEFT JOIN res USING (partition, l, r)
 )"""
 
 
 def _confidence(spark, sf_dir):
-    cands, pairs, parts, maps = _maps(spark, sf_dir)
+    cands, pairs, parts, maps = _grouped(spark, sf_dir)
     rows = R.exploded(maps)
     return R.confidence(rows, parts, cands, pairs, R.resolve(rows))
 
 
-@query(f"WITH RECURSIVE {CONF} SELECT partition, l, r, support, survived, round(round(raw, 9), 4) AS confidence FROM conf")
+@query(f"WITH {CONF} SELECT partition, l, r, support, survived, round(round(raw, 9), 4) AS confidence FROM conf")
 def confidence(spark, sf_dir):
     return _confidence(spark, sf_dir).select("partition", "l", "r", "support", "survived", "confidence")
 
 
-_SUMMARY = f"WITH RECURSIVE {CONF}, s AS (SELECT partition, count(*) AS size, round(avg(round(round(raw, 9), 4)), 4) AS avg_confidence, min(round(round(raw, 9), 4)) AS min_confidence, max(round(round(raw, 9), 4)) AS max_confidence FROM conf GROUP BY partition)"
+_SUMMARY = f"WITH {CONF}, s AS (SELECT partition, count(*) AS size, round(avg(round(round(raw, 9), 4)), 4) AS avg_confidence, min(round(round(raw, 9), 4)) AS min_confidence, max(round(round(raw, 9), 4)) AS max_confidence FROM conf GROUP BY partition)"
 
 
 @query(f"{_SUMMARY} SELECT partition, size, avg_confidence, min_confidence, max_confidence FROM s")
@@ -411,17 +421,17 @@ def confidence_report(spark, sf_dir):
     return R.confidence_bands(R.confidence_summary(_confidence(spark, sf_dir)))
 
 
-@query(f"""{M}, sets AS (SELECT partition, string_agg(l || '>' || r, '|' ORDER BY l, r) AS s, count(*) AS n FROM mp GROUP BY partition),
+@query(f"""{G}, sets AS (SELECT partition, string_agg(l || '>' || r, '|' ORDER BY l, r) AS s, count(*) AS n FROM mp GROUP BY partition),
 und AS (SELECT partition, string_agg(a || '>' || b, '|' ORDER BY a, b) AS s FROM (SELECT DISTINCT partition, least(l, r) AS a, greatest(l, r) AS b FROM mp) GROUP BY partition)
 SELECT count(*) AS mappings, CAST(sum(n) AS BIGINT) AS pairs, count(DISTINCT s) AS distinct_sets, (SELECT count(DISTINCT s) FROM und) AS distinct_undirected FROM sets""")
 def dedup_mappings(spark, sf_dir):
-    return R.distinct_mappings(_maps(spark, sf_dir)[3])
+    return R.distinct_mappings(_grouped(spark, sf_dir)[3])
 
 
-@query(f"""{M}, z AS (SELECT partition, count(*) AS size FROM res GROUP BY partition HAVING count(*) BETWEEN 3 AND 40 AND bool_and(length(l) < 35 AND length(r) < 35) ORDER BY partition LIMIT 8)
+@query(f"""{G}, z AS (SELECT partition, count(*) AS size FROM res GROUP BY partition HAVING count(*) BETWEEN 3 AND 40 AND bool_and(length(l) < 35 AND length(r) < 35) ORDER BY partition LIMIT 8)
 SELECT partition, CAST(size AS INTEGER) AS size FROM z""")
 def show_mappings(spark, sf_dir):
-    rows = R.exploded(_maps(spark, sf_dir)[3])
+    rows = R.exploded(_grouped(spark, sf_dir)[3])
     small = R.nested(R.resolve(rows), rows)
     short = F.forall("pairs", lambda p: (F.length(p["l"]) < 35) & (F.length(p["r"]) < 35))
     return small.where(F.col("size").between(3, 40) & short).orderBy("partition").limit(8).select("partition", "size")
@@ -778,8 +788,8 @@ def step2_largest(spark, sf_dir):
     return V.largest(_maps(spark, sf_dir)[3]).select("partition", "size", "num_source_tables")
 
 
-@query(f"""{M}, gone AS (SELECT partition, l, r FROM mp EXCEPT SELECT partition, l, r FROM res)
+@query(f"""{G}, gone AS (SELECT partition, l, r FROM mp EXCEPT SELECT partition, l, r FROM res)
 SELECT partition, l, r FROM gone WHERE partition IN (SELECT DISTINCT partition FROM gone ORDER BY partition LIMIT 4)""")
 def step3(spark, sf_dir):
-    rows = R.exploded(_maps(spark, sf_dir)[3])
+    rows = R.exploded(_grouped(spark, sf_dir)[3])
     return V.conflict_examples(rows, R.resolve(rows))
