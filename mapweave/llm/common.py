@@ -1,5 +1,6 @@
 """Helpers shared by the operators of this subpackage."""
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,6 +46,20 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of some hundred rows keep memory low on both sides of the pipe."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
+def relax() -> None:
+    """Give free memory back to the system; a Python worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def free_name(df: DataFrame, wish: str) -> str:
     """`wish`, or a variation of it that no column of `df` has."""
     taken = {c.lower() for c in df.columns}
@@ -73,5 +88,6 @@ def map_slices(df: DataFrame, text: int, schema: str, work: Callable[[pa.RecordB
         for batch in batches:
             for part in slices(batch, text):
                 yield work(part)
+        relax()
 
     return df.mapInArrow(run, schema)

@@ -27,15 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import map_slices, slices, stored
+from mapweave.llm.common import map_slices, relax, slices, small_batches, stored
 from mapweave.llm.components import components, forest
 
 #: Common shingles that are ordered by frequency, and the number of texts beyond which a shingle is common.
-HINTS, COMMON = 1_000_000, 2
+HINTS, COMMON = 600_000, 2
 #: Texts in candidate groups whose groups' names are sent to all executors (16 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_TEXTS = 500_000
 #: Shingles of a task's buffer, for a bucket, and of a candidate group that one task joins.
-BUFFER, BUCKET, GROUP = 500_000, 1_000_000, 2_000_000
+BUFFER, BUCKET, GROUP = 400_000, 700_000, 2_000_000
 #: Bits of the filter that keeps documents outside all candidate groups from being shuffled.
 FILTER_BITS = 25
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
@@ -157,6 +157,8 @@ def _buffered(batches, width, percent, slack, work, seen_most=500_000):
                     sets, keys, n = [], [], 0
     if sets:
         yield from work(sets, keys)
+    del sets, keys, seen
+    relax()
 
 
 def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> np.ndarray:
@@ -189,12 +191,15 @@ def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int) ->
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         total = np.add.reduceat(weights, first)
         keep = total > COMMON
-        lead = (np.uint64(key[0].as_py()) << np.uint64(32)) | tokens[first][keep].astype(np.uint64)
+        found = tokens[first][keep].astype(np.uint64)
+        del tokens, weights, order
+        relax()
+        lead = (np.uint64(key[0].as_py()) << np.uint64(32)) | found
         return pa.table({"lead": pa.array(lead.astype(np.int64)), "n": pa.array(total[keep])})
 
     found = _texts(docs, text).mapInArrow(counted, "bucket int, tokens binary, extra binary").groupBy("bucket").applyInArrow(summed, "lead long, n long")
-    rows = found.orderBy(F.desc("n"), "lead").limit(HINTS).toPandas()
-    return rows["lead"].to_numpy().astype(np.uint64)[::-1]
+    rows = found.orderBy(F.desc("n"), "lead").limit(HINTS).select("lead").toArrow()  # 8 bytes each, as columns
+    return rows.column("lead").to_numpy().astype(np.uint64)[::-1]
 
 
 def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int, common: np.ndarray) -> DataFrame:
@@ -281,6 +286,8 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
             order = np.lexsort((keys, sizes, tokens))
             edges.append(chained(tokens[order], keys[order], sizes[order])[0])
         a, b = forest(*np.concatenate(edges, axis=1))
+        del tokens, keys, sizes, edges
+        relax()
         return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     rows = _texts(docs, text).mapInArrow(listed, "bucket int, tokens binary, keys binary, sizes binary")
@@ -483,6 +490,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
             n.append(len(shingles(w, width)))
         return pa.RecordBatch.from_arrays([part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64())], [row_id, "key", "key2", "n"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[row_id]
     keys = stored(map_slices(_texts(docs, text, F.col(row_id)), 0, f"`{row_id}` {kind}, key long, key2 long, n long", keyed))
     total = keys.agg(F.sum("n")).first()[0] or 0
@@ -507,6 +515,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
             out = [(*names[i], names[r][0]) for i, r in enumerate(label.tolist()) if size[r] > 1]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["key", "key2", "label"])
+        relax()
 
     small = members.where("blocks = 1").select("root", "key", "key2", "set").repartition(parts, "root").sortWithinPartitions("root")
     labels = small.mapInArrow(whole, "key long, key2 long, label long")

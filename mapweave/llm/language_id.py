@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mapweave.llm.common import free_name, map_slices, slices
+from mapweave.llm.common import free_name, map_slices, slices, small_batches
 
 UNDETERMINED = "und"
 COLUMNS = {"lang_pred": "string", "score": "double", "shares": "array<struct<lang:string,share:double>>"}
@@ -139,6 +139,7 @@ def mixtures(ll: np.ndarray, runs: np.ndarray, segment: int, penalty: float, mos
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", usable=None, train_rows: int = 3000, segment: int = 48, penalty: float = 2.0, most: int = 4) -> DataFrame:
     """All columns of `docs` and lang_pred (language of the largest share), score (that share times the confidence in a single
     language), shares (all languages of the set, largest first). usable: rows with which the languages may be learned."""
+    small_batches(docs.sparkSession)
     langs, table = learn(docs, text, lang, row_id, F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)), train_rows)
     kept = [c for c in docs.columns if c.lower() not in COLUMNS]
     raw = free_name(docs, "text_in")
