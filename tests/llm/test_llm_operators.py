@@ -161,6 +161,20 @@ def test_windows_score_as_a_plain_loop():
         assert abs(total - value) < 1e-2 * max(1, len(s)) ** 0.5
 
 
+def test_a_block_sees_the_sixteen_pieces_before_it():
+    rng = np.random.default_rng(5)
+    size, end = 50, 49
+    classes = rng.integers(lm_scoring.CLASSES, size=size)
+    inputs = np.arange(size, dtype=np.int32)
+    n = lm_scoring.INPUTS + lm_scoring.CLASSES
+    assert lm_scoring.INPUTS >= 2048 and lm_scoring.CLASSES >= 64 and lm_scoring.HIDDEN >= 24
+    tables = lm_scoring.Attention(n).tables()
+    middle = rng.integers(49, size=29)
+    last = lambda first, x: lm_scoring.log_probabilities(tables, np.zeros((n, n), dtype=np.float32), inputs, classes, np.zeros(size), [np.array([first, *middle, x])], end)[0]
+    x, y = 3, next(i for i in range(4, 49) if classes[i] != classes[3])
+    assert abs((last(1, x) - last(1, y)) - (last(2, x) - last(2, y))) > 1e-4
+
+
 def test_distribution_sums_to_one():
     rng = np.random.default_rng(1)
     size = 3000
