@@ -209,6 +209,21 @@ def test_base_scores(spark, table):
         assert math.isfinite(r.score) and r.score < 0
 
 
+def test_classes_come_from_all_documents(spark, monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_model())
+    words = [w[1:] for w in map(sp.id_to_piece, range(300, 32000)) if w.startswith("▁") and w[1:].isascii() and w[1:].isalpha() and w[1:].islower() and len(w) > 5][:600]
+    rows = [(i, "the " + words[i % 600]) for i in range(3000)]  # each word occurs five times
+    seen, plain = {}, lm_scoring.conditional
+    monkeypatch.setattr(lm_scoring, "conditional", lambda joint, weight, inputs, classes: seen.update(weight=weight, inputs=inputs, classes=classes) or plain(joint, weight, inputs, classes))
+    out = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), piece_model(), F.lit(True), steps=3)
+    assert all(math.isfinite(r.score) for r in out.select("score").collect())
+    ids = [x[0] for x in map(sp.encode, words) if len(x) == 1]
+    assert len(ids) > 500 and set(seen["weight"][ids].tolist()) == {5.0}
+    assert not set(seen["classes"][ids].tolist()) & {lm_scoring._RARE, lm_scoring._RARE_START} and (seen["inputs"][ids] < lm_scoring.INPUTS).all()
+
+
 # ---- 5 quality
 
 
