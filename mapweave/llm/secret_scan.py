@@ -29,10 +29,10 @@ PREFIXES = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xo
 
 _ASSIGNED = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
 CANDIDATE = (
-    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{0,8000}-----END [A-Z ]{0,30}PRIVATE KEY-----"
-    f"|(?<={_ASSIGNED})[^\\s\"'<>,;]{{6,512}}"
-    "|(?<![A-Za-z0-9_+/.-])(?:(?:AKIA|ASIA|AIza|eyJ|gh[pos]_|github_pat_|glpat-|xox[bp]-|sk_live_|sk-)[A-Za-z0-9_+/.-]{15,2047}[A-Za-z0-9_+/]={0,2}"
-    "|(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{15,2047}[A-Za-z0-9_+/]={0,2})"
+    "-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\\s*+[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+[A-Za-z0-9+/=\\s]*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+    f"|(?<={_ASSIGNED})[^\\s\"'<>,;]{{6,}}+"
+    "|(?<![A-Za-z0-9_+/.-])(?:(?:AKIA|ASIA|AIza|eyJ|gh[pos]_|github_pat_|glpat-|xox[bp]-|sk_live_|sk-)[A-Za-z0-9_+/.-]{15,}[A-Za-z0-9_+/]={0,2}"
+    "|(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{15,}[A-Za-z0-9_+/]={0,2})"
 )
 FEATURES = ["length", "digits", "upper", "lower", "signs", "transitions", "distinct", "coverage", "numeric", "hex", "path", "address", "prefix", "announced", "harmless", "assigned"]
 COLUMNS = ["n_candidates", "findings", "redacted"]
