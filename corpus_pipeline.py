@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import decontamination, jaccard_join, language_id, secret_scan, sentencepiece_codec
-from mapweave.llm.common import residue, stored, table
+from mapweave.llm.common import free_name, residue, stored, table
 from mapweave.llm.queries import piece_model, token_digests
 
 #: Ids that are sent to all executors at most (8 bytes each, some 30 MB with their index); beyond, the join is left to a shuffle.
@@ -26,13 +26,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group."""
-    found = stored(jaccard_join.near_duplicates(docs))
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    """Keep the row with the smallest id of each group (null ids last; of equal ids, the first stored row). Rows are told apart by a number."""
+    number = free_name(docs, "row_number")
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
+    found = stored(jaccard_join.near_duplicates(rows.select(place.alias("place"), "text"), row_id="place"))
+    gone = found.where("component_id.number <> place.number").select(F.col("place.number").alias("gone"))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    repeated = found.where("component_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return _as_documents(rows.join(gone, F.col(number) == F.col("gone"), "left_anti"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
