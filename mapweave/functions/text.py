@@ -21,6 +21,7 @@ CURRENCY = r"[$€£¥₹₩₺₽¢]\s?\d|\d\s?[$€£¥₹₩₺₽¢]"
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9a-f]{32}$"
 URL = r"^https?://"
 PATH = r"^(?:/[\w.-]+)+/?$|^[A-Za-z]:\\"
+NORMALISED = [(r"\(.*?\)", ""), (r"(?<=[a-z])\.(?=[a-z])", ""), (r"(?U)[^\w\s]", " "), (r"(?U)\s+", " ")]
 REPEATED = r"^([^a-zA-Z0-9])\1{2,}$"
 
 
@@ -103,8 +104,7 @@ def is_repeated_char(c: Column) -> Column:
 
 def normalize(c: Column) -> Column:
     """Lower case, without bracketed parts, dots between letters and other punctuation; runs of white space as one space."""
-    steps = [(r"\(.*?\)", ""), (r"(?<=[a-z])\.(?=[a-z])", ""), (r"(?U)[^\w\s]", " "), (r"(?U)\s+", " ")]
-    return strip(reduce(lambda x, s: F.regexp_replace(x, *s), steps, strip(F.lower(c))))
+    return strip(reduce(lambda x, s: F.regexp_replace(x, *s), NORMALISED, strip(F.lower(c))))
 
 
 def tokens(c: Column) -> Column:

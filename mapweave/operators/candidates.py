@@ -1,14 +1,14 @@
 """Approximate functional dependencies between columns, and the rules that drop uninformative candidates.
 
-A candidate's id grows with (table, left column, right column); it is made from these three and needs no numbering over all rows.
+A candidate's id is its number in the order of (table, left column, right column), found without a task that sees all candidates.
 """
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as T
+from mapweave.operators.graph import numbered
 
-ID_COLUMNS = 1000  # columns of a table at most, for ids
 DEPENDENCY = ["table_idx", "left_col", "right_col"]
 
 
@@ -20,25 +20,25 @@ def column_pairs(cells: DataFrame) -> DataFrame:
 
 
 def witnesses(cells: DataFrame) -> DataFrame:
-    """For each left value of a column pair its most frequent right value (the first seen of equals): x, y, cnt, rows_x, first_row (of x), distinct_y."""
+    """For each left value of a column pair its most frequent right value (the first seen of equals): x, y, cnt, rows_x, first_row (of x), low_y and
+    high_y (its smallest and largest right value)."""
     counts = column_pairs(cells).groupBy(*DEPENDENCY, "x", "y").agg(F.count("*").alias("cnt"), F.min("row_idx").alias("seen"))
     best = F.max_by(F.struct("y", "cnt"), F.struct("cnt", (-F.col("seen")).alias("s")))
-    return counts.groupBy(*DEPENDENCY, "x").agg(best.alias("w"), F.sum("cnt").alias("rows_x"), F.min("seen").alias("first_row"), F.collect_set("y").alias("ys")).select(*DEPENDENCY, "x", "w.y", "w.cnt", "rows_x", "first_row", "ys")
+    return counts.groupBy(*DEPENDENCY, "x").agg(best.alias("w"), F.sum("cnt").alias("rows_x"), F.min("seen").alias("first_row"), F.min("y").alias("low_y"), F.max("y").alias("high_y")).select(*DEPENDENCY, "x", "w.y", "w.cnt", "rows_x", "first_row", "low_y", "high_y")
 
 
 def approximate_fds(cells: DataFrame, min_rows: int = 3) -> DataFrame:
     """(table_idx, left_col, right_col, theta, row_count, covered_rows, pairs) for all column pairs that meet the minima; pairs in order of first rows."""
     pair = F.struct("first_row", F.col("x").alias("l"), F.col("y").alias("r"))
-    out = witnesses(cells).groupBy(*DEPENDENCY).agg(F.sum("rows_x").alias("row_count"), F.sum("cnt").alias("covered_rows"), F.count("*").alias("n_x"), F.size(F.array_distinct(F.flatten(F.collect_list("ys")))).alias("n_y"), F.array_sort(F.collect_list(pair)).alias("p"))
-    out = out.where((F.col("row_count") >= min_rows) & (F.col("n_x") >= 2) & (F.col("n_y") >= 2))
+    out = witnesses(cells).groupBy(*DEPENDENCY).agg(F.sum("rows_x").alias("row_count"), F.sum("cnt").alias("covered_rows"), F.count("*").alias("n_x"), (F.min("low_y") < F.max("high_y")).alias("two_y"), F.array_sort(F.collect_list(pair)).alias("p"))
+    out = out.where((F.col("row_count") >= min_rows) & (F.col("n_x") >= 2) & F.col("two_y"))
     pairs = F.transform("p", lambda z: F.struct(z["l"].alias("l"), z["r"].alias("r")))
     return out.select(*DEPENDENCY, (F.col("covered_rows") / F.col("row_count")).alias("theta"), "row_count", "covered_rows", pairs.alias("pairs"))
 
 
 def candidates(cells: DataFrame, theta: float = 0.95, min_rows: int = 3) -> DataFrame:
     found = approximate_fds(cells, min_rows).where(F.col("theta") >= theta)
-    cand = F.col("table_idx") * (ID_COLUMNS * ID_COLUMNS) + F.col("left_col") * ID_COLUMNS + F.col("right_col")
-    return found.withColumn("cand", cand.cast("long"))
+    return numbered(found, DEPENDENCY, "cand")
 
 
 def explode_pairs(cands: DataFrame) -> DataFrame:

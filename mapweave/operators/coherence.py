@@ -44,18 +44,18 @@ def npmi_column(n_uv, n_u, n_v, total):
     return F.when(n_uv.isNull() | (n_uv == 0), -1.0).when(p >= 1, 1.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
-def npmi(columns: DataFrame) -> DataFrame:
-    """(u, v, n, npmi) for all pairs that occur."""
-    counts, total = value_counts(columns), total_columns(columns)
+def npmi(columns: DataFrame, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(u, v, n, npmi) for all pairs that occur. index: value and pair counts of the same columns, where they are kept."""
+    (counts, pairs), total = index or (value_counts(columns), cooccurrence(columns)), total_columns(columns)
     x, y = counts.toDF("u", "n_u"), counts.toDF("v", "n_v")
-    joined = cooccurrence(columns).join(x, "u").join(y, "v").crossJoin(F.broadcast(total.toDF("total")))  # one row
+    joined = pairs.join(x, "u").join(y, "v").crossJoin(F.broadcast(total.toDF("total")))  # one row
     return joined.select("u", "v", "n", npmi_column(F.col("n"), F.col("n_u"), F.col("n_v"), F.col("total")).alias("npmi"))
 
 
-def coherence(cells: DataFrame, skip_noise: bool = True) -> DataFrame:
+def coherence(cells: DataFrame, skip_noise: bool = True, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(table_idx, col_idx, score) for every column: the mean NPMI of its value pairs, -1 below two values."""
     columns = column_values(cells, skip_noise)
-    scored = value_pairs(columns).join(npmi(columns).select("u", "v", "npmi"), ["u", "v"]).groupBy(*COLUMN).agg(F.avg("npmi").alias("score"))
+    scored = value_pairs(columns).join(npmi(columns, index).select("u", "v", "npmi"), ["u", "v"]).groupBy(*COLUMN).agg(F.avg("npmi").alias("score"))
     return cells.select(*COLUMN).distinct().join(scored, COLUMN, "left").select(*COLUMN, F.coalesce("score", F.lit(-1.0)).alias("score"))
 
 

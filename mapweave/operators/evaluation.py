@@ -69,8 +69,8 @@ def cover_tables(gold: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def table_keys(tables: DataFrame) -> DataFrame:
-    """The tables with `key`, a digest of their columns that identifies equal tables."""
-    return tables.withColumn("key", F.md5(F.concat_ws("\n", F.transform("columns", lambda c: F.concat_ws("\t", c)))))
+    """The tables with `key`, the digest of their columns as JSON, which identifies equal tables whatever their cells hold."""
+    return tables.withColumn("key", F.md5(F.to_json("columns", {"ignoreNullFields": "false"})))
 
 
 def covered_sample(cover: DataFrame, tables: DataFrame, n: int) -> DataFrame:

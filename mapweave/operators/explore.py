@@ -50,6 +50,11 @@ def pivot_all(cells: DataFrame, most: int = 1000) -> DataFrame:
     return pivot(cells, found)
 
 
+def listing(cells: DataFrame, tableid, n: int = 100) -> DataFrame:
+    """The first n cells of a table in order of rows and columns."""
+    return cells.where(F.col("tableid") == F.lit(tableid)).orderBy("rowid", "colid").limit(n).select("rowid", "colid", "term", "tokenized")
+
+
 def medium_tables(cells: DataFrame, low: int = 150, high: int = 800, n: int = 5) -> DataFrame:
     return tokens_per_table(cells).where(F.col("tokens").between(low, high)).orderBy(F.desc("tokens"), "tableid").limit(n)
 

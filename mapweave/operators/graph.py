@@ -1,22 +1,48 @@
-"""Connected components with DataFrame joins."""
+"""Checkpoints, numbers for rows, and connected components with DataFrame joins."""
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Where the setting is
+    missing, a folder of our own in local mode, as in tests; elsewhere that would lose data, and is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="mapweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    name = f"{base.rstrip('/')}/mapweave-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return name
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder that the session names."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="mapweave-")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`df` with its rows' numbers in an order, from 0 without gaps: rows are sorted by ranges, placed inside partitions, and the partitions'
+    offsets (a number each) are added. No task sees all rows, and no number depends on how many partitions or columns there are."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place_no", F.monotonically_increasing_id()))
+    part, at = F.shiftright("place_no", 33), F.col("place_no").bitwiseAND((1 << 33) - 1)
+    earlier = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each partition
+    before = placed.groupBy(part.alias("part_no")).agg(F.count("*").alias("rows_no")).select("part_no", F.coalesce(F.sum("rows_no").over(earlier), F.lit(0)).alias("offset_no"))
+    return placed.join(F.broadcast(before), part == F.col("part_no")).withColumn(name, F.col("offset_no") + at).drop("place_no", "part_no", "offset_no")  # a row for each partition
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None, rounds: int = 60) -> DataFrame:
     """(v, root): each vertex with the smallest one of its component. edges: a, b; vertices: v, whose lone ones are their own root.
 

@@ -75,6 +75,15 @@ def confidence_summary(scored: DataFrame) -> DataFrame:
     return scored.groupBy(MAP).agg(F.count("*").alias("size"), F.round(F.avg("confidence"), 4).alias("avg_confidence"), F.min("confidence").alias("min_confidence"), F.max("confidence").alias("max_confidence"))
 
 
+def scored_mappings(scored: DataFrame) -> DataFrame:
+    """(partition, size, avg_confidence, min_confidence, max_confidence, scored_pairs): each mapping's pairs by confidence, descending; pairs of equal
+    confidence in order."""
+    each = F.struct((-F.col("confidence")).alias("place"), "l", "r", "confidence", F.col("support").alias("support_count"), F.round("avg_theta", 4).alias("avg_theta"), F.col("survived").alias("survived_conflict"))
+    kept = ("l", "r", "confidence", "support_count", "avg_theta", "survived_conflict")
+    pairs = scored.groupBy(MAP).agg(F.transform(F.array_sort(F.collect_list(each)), lambda x: F.struct(*[x[k].alias(k) for k in kept])).alias("scored_pairs"))
+    return confidence_summary(scored).join(pairs, MAP)
+
+
 def confidence_bands(summary: DataFrame) -> DataFrame:
     band = F.when(F.col("avg_confidence") >= 0.8, "high").when(F.col("avg_confidence") >= 0.5, "medium").otherwise("low")
     return summary.groupBy(band.alias("band")).agg(F.count("*").alias("mappings"))

@@ -7,12 +7,7 @@ from mapweave.functions.text import strip
 from mapweave.operators.graph import components
 
 # Fixed pairs of names that mean the same.
-COUNTRIES = [("usa", "united states"), ("usa", "united states of america"), ("united states", "united states of america"), ("uk", "united kingdom"), ("uk", "great britain"), ("united kingdom", "great britain"), ("uae", "united arab emirates"), ("south korea", "korea republic"), ("south korea", "republic of korea"), ("north korea", "democratic peoples republic of korea"), ("russia", "russian federation"), ("iran", "islamic republic of iran"), ("syria", "syrian arab republic"), ("tanzania", "united republic of tanzania"), ("moldova", "republic of moldova"), ("bolivia", "plurinational state of bolivia"), ("venezuela", "bolivarian republic of venezuela"), ("congo", "democratic republic of the congo"), ("congo", "republic of the congo")]
-ABBREVIATIONS = [("dr", "doctor"), ("mr", "mister"), ("mrs", "missus"), ("prof", "professor"), ("st", "saint"), ("mt", "mount"), ("ft", "fort")]
-STATES = [("al", "alabama"), ("ak", "alaska"), ("az", "arizona"), ("ar", "arkansas"), ("ca", "california"), ("co", "colorado"), ("ct", "connecticut"), ("de", "delaware"), ("fl", "florida"), ("ga", "georgia"), ("hi", "hawaii"), ("id", "idaho"), ("il", "illinois"), ("in", "indiana"), ("ia", "iowa"), ("ks", "kansas"), ("ky", "kentucky"), ("la", "louisiana"), ("me", "maine"), ("md", "maryland"), ("ma", "massachusetts"), ("mi", "michigan"), ("mn", "minnesota"), ("ms", "mississippi"), ("mo", "missouri"), ("mt", "montana"), ("ne", "nebraska"), ("nv", "nevada"), ("nh", "new hampshire"), ("nj", "new jersey"), ("nm", "new mexico"), ("ny", "new york"), ("nc", "north carolina"), ("nd", "north dakota"), ("oh", "ohio"), ("ok", "oklahoma"), ("or", "oregon"), ("pa", "pennsylvania"), ("ri", "rhode island"), ("sc", "south carolina"), ("sd", "south dakota"), ("tn", "tennessee"), ("tx", "texas"), ("ut", "utah"), ("vt", "vermont"), ("va", "virginia"), ("wa", "washington"), ("wv", "west virginia"), ("wi", "wisconsin"), ("wy", "wyoming")]
-GENRES = [("hip hop", "hip-hop"), ("r&b", "rhythm and blues"), ("rnb", "rhythm and blues"), ("rock and roll", "rock & roll"), ("indie", "independent")]
-GENERAL = [("and", "&"), ("intl", "international"), ("natl", "national"), ("corp", "corporation"), ("inc", "incorporated"), ("ltd", "limited"), ("dept", "department"), ("univ", "university"), ("assoc", "association")]
-BUILT_IN = COUNTRIES + ABBREVIATIONS + STATES + GENRES + GENERAL
+BUILT_IN = [("usa", "united states"), ("usa", "united states of america"), ("united states", "united states of america"), ("uk", "united kingdom"), ("uk", "great britain"), ("united kingdom", "great britain"), ("uae", "united arab emirates"), ("south korea", "korea republic"), ("south korea", "republic of korea"), ("north korea", "democratic peoples republic of korea"), ("russia", "russian federation"), ("iran", "islamic republic of iran"), ("syria", "syrian arab republic"), ("tanzania", "united republic of tanzania"), ("moldova", "republic of moldova"), ("bolivia", "plurinational state of bolivia"), ("venezuela", "bolivarian republic of venezuela"), ("congo", "democratic republic of the congo"), ("congo", "republic of the congo"), ("dr", "doctor"), ("mr", "mister"), ("mrs", "missus"), ("prof", "professor"), ("st", "saint"), ("mt", "mount"), ("ft", "fort"), ("al", "alabama"), ("ak", "alaska"), ("az", "arizona"), ("ar", "arkansas"), ("ca", "california"), ("co", "colorado"), ("ct", "connecticut"), ("de", "delaware"), ("fl", "florida"), ("ga", "georgia"), ("hi", "hawaii"), ("id", "idaho"), ("il", "illinois"), ("in", "indiana"), ("ia", "iowa"), ("ks", "kansas"), ("ky", "kentucky"), ("la", "louisiana"), ("me", "maine"), ("md", "maryland"), ("ma", "massachusetts"), ("mi", "michigan"), ("mn", "minnesota"), ("ms", "mississippi"), ("mo", "missouri"), ("mt", "montana"), ("ne", "nebraska"), ("nv", "nevada"), ("nh", "new hampshire"), ("nj", "new jersey"), ("nm", "new mexico"), ("ny", "new york"), ("nc", "north carolina"), ("nd", "north dakota"), ("oh", "ohio"), ("ok", "oklahoma"), ("or", "oregon"), ("pa", "pennsylvania"), ("ri", "rhode island"), ("sc", "south carolina"), ("sd", "south dakota"), ("tn", "tennessee"), ("tx", "texas"), ("ut", "utah"), ("vt", "vermont"), ("va", "virginia"), ("wa", "washington"), ("wv", "west virginia"), ("wi", "wisconsin"), ("wy", "wyoming"), ("hip hop", "hip-hop"), ("r&b", "rhythm and blues"), ("rnb", "rhythm and blues"), ("rock and roll", "rock & roll"), ("indie", "independent"), ("and", "&"), ("intl", "international"), ("natl", "national"), ("corp", "corporation"), ("inc", "incorporated"), ("ltd", "limited"), ("dept", "department"), ("univ", "university"), ("assoc", "association")]
 
 
 def folded(c: Column) -> Column:

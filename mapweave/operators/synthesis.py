@@ -55,7 +55,8 @@ def edge_scores(pairs: DataFrame, edges: DataFrame, matcher=None, pair_cap: int
     a, b = p.toDF("ci", "l1", "r1"), p.toDF("cj", "l2", "r2")
     e = edges.select(*EDGE)
     if matcher is None:
-        met = a.join(b, F.col("l1") == F.col("l2")).where("ci < cj").join(e, EDGE, "left_semi").select(*EDGE, "l1", "r1", (F.col("r1") == F.col("r2")).alias("same"))
+        # the edges come first: only pairs of candidates with an edge meet
+        met = e.join(a, "ci").join(p.toDF("cj", "l1", "r2"), ["cj", "l1"]).select(*EDGE, "l1", "r1", (F.col("r1") == F.col("r2")).alias("same"))
     else:
         # each pair of values that meets in some edge is compared once
         lefts = e.join(a.select("ci", "l1").distinct(), "ci").join(b.select("cj", "l2").distinct(), "cj")
@@ -80,6 +81,16 @@ def jaccard_matcher(a: Column, b: Column) -> Column:
     return T.char_jaccard(a, b) >= 0.5
 
 
+def negative_edges(scores: DataFrame) -> DataFrame:
+    """All edges with a conflict, whatever their positive weight."""
+    return scores.where("w_neg < 0")
+
+
+def edge_report(scores: DataFrame, theta_edge: float = 0.85, blocking: float = -0.2) -> DataFrame:
+    """How many edges there are, are kept as positive or negative ones, and conflict beyond a fixed bound."""
+    return scores.agg(F.count("*").alias("edges"), F.count_if((F.col("w_pos") >= theta_edge) & (F.col("w_pos") > 0)).alias("positive"), F.count_if(F.col("w_neg") < 0).alias("negative"), F.count_if(F.col("w_neg") < blocking).alias("blocking"))
+
+
 def positive_edges(scores: DataFrame, theta_edge: float = 0.85) -> DataFrame:
     return scores.where((F.col("w_pos") >= theta_edge) & (F.col("w_pos") > 0))
 
@@ -119,7 +130,8 @@ def merge_component(edges: list[tuple[int, int, float, float]], members: list[in
             continue
         new, fresh = fresh, fresh + 1
         pos[new], neg[new] = {}, {}
-        for k in [k for k in group if k not in (a, b) and (k in pos[a] or k in pos[b] or k in neg[a] or k in neg[b])]:
+        near = sorted((pos[a].keys() | pos[b].keys() | neg[a].keys() | neg[b].keys()) - {a, b})  # older groups have smaller numbers
+        for k in near:
             w, c = pos[a].get(k, 0.0) + pos[b].get(k, 0.0), min(neg[a].get(k, 0.0), neg[b].get(k, 0.0))
             for side, value, live in ((pos, w, w > 0), (neg, c, c < 0)):
                 side[k].pop(a, None)
@@ -127,7 +139,7 @@ def merge_component(edges: list[tuple[int, int, float, float]], members: list[in
                 if live:
                     side[new][k] = side[k][new] = value
         group[new] = group.pop(a) + group.pop(b)
-        for k in list(group):
+        for k in near:
             if k in pos[new]:
                 offer(k, new)
         for gone in (a, b):
@@ -161,5 +173,12 @@ def mappings(parts: DataFrame, pairs: DataFrame) -> DataFrame:
     return c.join(p, "partition").select("partition", "candidates", "pairs", F.size("pairs").alias("size"), F.size("candidates").alias("num_source_tables"))
 
 
+def top(maps: DataFrame, k: int = 5, sample: int = 3) -> DataFrame:
+    """(rank, partition, size, num_source_tables, sample): the k largest mappings with their first pairs."""
+    first = maps.orderBy(F.desc("size"), "partition").limit(k)
+    rank = F.row_number().over(Window.orderBy(F.desc("size"), "partition"))  # over k rows
+    return first.select(rank.alias("rank"), "partition", "size", "num_source_tables", F.slice("pairs", 1, sample).alias("sample"))
+
+
 def report(maps: DataFrame) -> DataFrame:
     return maps.agg(F.count("*").alias("mappings"), F.count_if(F.col("num_source_tables") == 1).alias("singletons"), F.min("size").alias("min_size"), F.avg("size").alias("mean_size"), F.max("size").alias("max_size"))

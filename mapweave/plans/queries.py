@@ -14,7 +14,7 @@ from mapweave.operators import resolution as R
 from mapweave.operators import synonyms as Y
 from mapweave.operators import synthesis as S
 from mapweave.operators import views as V
-from mapweave.operators.graph import checkpointed
+from mapweave.operators.graph import checkpointed, shared_folder
 from mapweave.plans import star_corpus as K
 from mapweave.sources import corpus as L
 
@@ -147,7 +147,7 @@ CANDS = COLUMNS + r""", kept AS (SELECT c.* FROM cells c JOIN scored USING (tabl
   SELECT table_idx, left_col, right_col, CAST(sum(cnt) AS BIGINT) AS row_count, CAST(sum(CASE WHEN k = 1 THEN cnt END) AS BIGINT) AS covered_rows,
     sum(CASE WHEN k = 1 THEN cnt END) / sum(cnt) AS theta, count(*) FILTER (k = 1) AS n_pairs FROM best GROUP BY ALL
   HAVING sum(cnt) >= 3 AND count(DISTINCT x) >= 2 AND count(DISTINCT y) >= 2
-), cands AS (SELECT table_idx * 1000000 + left_col * 1000 + right_col AS cand, * FROM fd WHERE theta >= 0.95
+), cands AS (SELECT row_number() OVER (ORDER BY table_idx, left_col, right_col) - 1 AS cand, * FROM fd WHERE theta >= 0.95
 ), cp AS (
   SELECT cand, CAST(row_number() OVER (PARTITION BY cand ORDER BY first_row, x, y) - 1 AS INTEGER) AS pos, x AS l, y AS r
   FROM cands JOIN best USING (table_idx, left_col, right_col) WHERE k = 1
@@ -289,14 +289,46 @@ def edge_scores_edit(spark, sf_dir):
     return _scores(spark, sf_dir, S.edit_matcher)[2].select("ci", "cj", r9("w_pos", "w_pos"), (F.round("w_neg", 9) + 0.0).alias("w_neg"))
 
 
-@query()
+# every two values of candidates are compared once: a small vocabulary of names
+_VALUES = PAIRS + ", nv AS (SELECT t, {norm} AS x FROM (SELECT DISTINCT l AS t FROM cp UNION SELECT DISTINCT r FROM cp))"
+_BY_VALUE = """, met AS (SELECT e.ci, e.cj, a.l AS l1, a.r AS r1, bool_or(vr.ok) AS hit, bool_or(NOT vr.ok) AS clash
+  FROM edges e JOIN cp a ON a.cand = e.ci JOIN cp b ON b.cand = e.cj JOIN vm vl ON vl.p = a.l AND vl.q = b.l AND vl.ok JOIN vm vr ON vr.p = a.r AND vr.q = b.r GROUP BY ALL
+)""" + SCORES[SCORES.index(", es AS"):]
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(V, e' \t')), '\(.*?\)', '', 'g'), '([a-z])\.([a-z])', '\1\2', 'g'), '([a-z])\.([a-z])', '\1\2', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+_NG = "CASE WHEN V = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(V) - 1, 1) + 1), lambda i: substr(V, i, 2))) END"
+_JAC = "CASE WHEN len(list_distinct({0} || {1})) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct({0} || {1})) END"
+#: Jaro and Jaro-Winkler of the pairs jp(x, y), a character a step: the first free equal character in reach is taken.
+_JARO = """, jr(x, y, i, free, ma) AS (SELECT x, y, 0, y, '' FROM jp WHERE x <> y AND x <> '' AND y <> '' UNION ALL
+  SELECT x, y, i + 1, CASE WHEN spot > 0 THEN substr(free, 1, lo + spot - 1) || chr(1) || substr(free, lo + spot + 1) ELSE free END, CASE WHEN spot > 0 THEN ma || ch ELSE ma END
+  FROM (SELECT *, CASE WHEN hi > lo THEN strpos(substr(free, lo + 1, hi - lo), ch) ELSE 0 END AS spot
+    FROM (SELECT *, substr(x, i + 1, 1) AS ch, greatest(0, i - greatest(greatest(length(x), length(y)) // 2 - 1, 0)) AS lo, least(length(y), i + greatest(greatest(length(x), length(y)) // 2 - 1, 0) + 1) AS hi FROM jr WHERE i < length(x)))
+), jm AS (SELECT x, y, length(ma) AS m, ma, array_to_string(list_transform(list_filter(range(1, length(y) + 1), lambda k: substr(free, k, 1) = chr(1)), lambda k: substr(y, k, 1)), '') AS mb FROM jr WHERE i = length(x)
+), jv AS (SELECT x, y, m, len(list_filter(range(1, m + 1), lambda k: substr(ma, k, 1) <> substr(mb, k, 1))) AS moved FROM jm
+), js AS (SELECT jp.x, jp.y, CASE WHEN jp.x = jp.y THEN 1.0::DOUBLE WHEN coalesce(m, 0) = 0 THEN 0.0::DOUBLE ELSE (m / length(jp.x) + m / length(jp.y) + (m - moved / 2) / m) / 3 END AS jaro FROM jp LEFT JOIN jv ON jv.x = jp.x AND jv.y = jp.y
+), jw AS (SELECT x, y, jaro, jaro + CAST(CASE WHEN length(x) < 1 OR length(y) < 1 OR substr(x, 1, 1) <> substr(y, 1, 1) THEN 0 WHEN length(x) < 2 OR length(y) < 2 OR substr(x, 2, 1) <> substr(y, 2, 1) THEN 1 WHEN length(x) < 3 OR length(y) < 3 OR substr(x, 3, 1) <> substr(y, 3, 1) THEN 2
+  WHEN length(x) < 4 OR length(y) < 4 OR substr(x, 4, 1) <> substr(y, 4, 1) THEN 3 ELSE 4 END AS DOUBLE) * 0.1::DOUBLE * (1 - jaro) AS winkler FROM js)"""
+_NAMED = _VALUES.replace("{norm}", _NORM.replace("V", "t"))
+_SCORED = " SELECT ci, cj, round(w_pos, 9) AS w_pos, round(w_neg, 9) + 0.0 AS w_neg FROM es"
+
+
+@query(f"WITH {_NAMED}, ng AS (SELECT t, {_NG.replace('V', 'x')} AS c FROM nv), vm AS (SELECT a.t AS p, b.t AS q, {_JAC.format('a.c', 'b.c')} >= 0.5 AS ok FROM ng a, ng b){_BY_VALUE}{_SCORED}")
 def edge_scores_jaccard(spark, sf_dir):
-    return _scores(spark, sf_dir, S.jaccard_matcher)[2].select("ci", "cj", r9("w_pos", "w_pos"), r9("w_neg", "w_neg"))
+    return _scores(spark, sf_dir, S.jaccard_matcher)[2].select("ci", "cj", r9("w_pos", "w_pos"), (F.round("w_neg", 9) + 0.0).alias("w_neg"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_NAMED}, jp AS (SELECT DISTINCT a.x, b.x AS y FROM nv a, nv b){_JARO}, vm AS (SELECT a.t AS p, b.t AS q, a.t <> '' AND b.t <> '' AND winkler >= 0.85 AS ok FROM nv a, nv b, jw WHERE jw.x = a.x AND jw.y = b.x){_BY_VALUE}{_SCORED}")
 def edge_scores_jw(spark, sf_dir):
-    return _scores(spark, sf_dir, J.jaro_winkler_match)[2].select("ci", "cj", r9("w_pos", "w_pos"), r9("w_neg", "w_neg"))
+    return _scores(spark, sf_dir, J.jaro_winkler_match)[2].select("ci", "cj", r9("w_pos", "w_pos"), (F.round("w_neg", 9) + 0.0).alias("w_neg"))
+
+
+@query(f"WITH {EXACT} SELECT count(*) AS edges, count(*) FILTER (w_pos >= 0.5) AS positive, count(*) FILTER (w_neg < 0) AS negative, count(*) FILTER (w_neg < -0.2) AS blocking FROM es")
+def edge_report(spark, sf_dir):
+    return S.edge_report(_scores(spark, sf_dir)[2], 0.5)
+
+
+@query(f"WITH {EXACT} SELECT ci, cj, round(w_neg, 9) AS w_neg FROM es WHERE w_neg < 0")
+def negative_edges(spark, sf_dir):
+    return S.negative_edges(_scores(spark, sf_dir)[2]).select("ci", "cj", r9("w_neg", "w_neg"))
 
 
 @query(f"WITH RECURSIVE {EXACT}{ROOTS} SELECT v, root FROM roots")
@@ -346,6 +378,12 @@ def synthesis_report(spark, sf_dir):
     return S.report(_maps(spark, sf_dir)[3]).withColumn("mean_size", F.round("mean_size", 9))
 
 
+@query(f"""{M}, tp AS (SELECT *, row_number() OVER (ORDER BY size DESC, partition) AS rank FROM maps QUALIFY rank <= 5), sm AS (SELECT partition, string_agg(l || '>' || r, '|' ORDER BY l, r) AS sample FROM (SELECT * FROM mp QUALIFY row_number() OVER (PARTITION BY partition ORDER BY l, r) <= 3) GROUP BY partition)
+SELECT CAST(rank AS INTEGER) AS rank, partition, CAST(size AS INTEGER) AS size, CAST(num_source_tables AS INTEGER) AS num_source_tables, sample FROM tp JOIN sm USING (partition)""")
+def synthesis_top(spark, sf_dir):
+    return _sampled(S.top(_maps(spark, sf_dir)[3]))
+
+
 @query(f"{G} SELECT partition, l, string_agg(r, '|' ORDER BY r) AS rights FROM mp GROUP BY ALL HAVING count(*) > 1")
 def find_conflicts(spark, sf_dir):
     return R.find_conflicts(R.exploded(_grouped(spark, sf_dir)[3])).select("partition", "l", F.array_join("rights", "|").alias("rights"))
@@ -408,6 +446,13 @@ def confidence(spark, sf_dir):
     return _confidence(spark, sf_dir).select("partition", "l", "r", "support", "survived", "confidence")
 
 
+@query(f"""WITH {CONF}, k AS (SELECT *, round(round(raw, 9), 4) AS c FROM conf)
+SELECT partition, count(*) AS size, round(avg(c), 4) AS avg_confidence, min(c) AS min_confidence, max(c) AS max_confidence, md5(string_agg(l || '>' || r || CASE WHEN survived THEN '+' ELSE '-' END || support, '|' ORDER BY c DESC, l, r)) AS digest FROM k GROUP BY partition""")
+def scored_mappings(spark, sf_dir):
+    each = F.transform("scored_pairs", lambda p: F.concat(p["l"], F.lit(">"), p["r"], F.when(p["survived_conflict"], "+").otherwise("-"), p["support_count"].cast("string")))
+    return R.scored_mappings(_confidence(spark, sf_dir)).select("partition", "size", "avg_confidence", "min_confidence", "max_confidence", F.md5(F.array_join(each, "|")).alias("digest"))
+
+
 _SUMMARY = f"WITH {CONF}, s AS (SELECT partition, count(*) AS size, round(avg(round(round(raw, 9), 4)), 4) AS avg_confidence, min(round(round(raw, 9), 4)) AS min_confidence, max(round(round(raw, 9), 4)) AS max_confidence FROM conf GROUP BY partition)"
 
 
@@ -428,13 +473,20 @@ def dedup_mappings(spark, sf_dir):
     return R.distinct_mappings(_grouped(spark, sf_dir)[3])
 
 
-@query(f"""{G}, z AS (SELECT partition, count(*) AS size FROM res GROUP BY partition HAVING count(*) BETWEEN 3 AND 40 AND bool_and(length(l) < 35 AND length(r) < 35) ORDER BY partition LIMIT 8)
-SELECT partition, CAST(size AS INTEGER) AS size FROM z""")
+def _sampled(df):
+    return df.withColumn("sample", F.array_join(F.transform("sample", lambda p: F.concat(p["l"], F.lit(">"), p["r"])), "|"))
+
+
+@query("""WITH p AS (SELECT n_nationkey % 6 AS partition, lower(n_name) AS l, CASE WHEN n_nationkey = 2 THEN repeat('long name ', 9) ELSE 'k' || n_nationkey END AS r FROM nation UNION SELECT 9, lower(r_name), 'r' || r_regionkey FROM region WHERE r_regionkey < 2 UNION SELECT 8, lower(c), 's' || c FROM (SELECT DISTINCT c_mktsegment AS c FROM customer)),
+z AS (SELECT partition, count(*) AS size, bool_and(length(l) < 35 AND length(r) < 35) AS short FROM p GROUP BY partition HAVING count(*) BETWEEN 3 AND 8 AND short)
+SELECT CAST(partition AS BIGINT) AS partition, CAST(size AS INTEGER) AS size FROM z ORDER BY partition LIMIT 8""")
 def show_mappings(spark, sf_dir):
-    rows = R.exploded(_grouped(spark, sf_dir)[3])
-    small = R.nested(R.resolve(rows), rows)
-    short = F.forall("pairs", lambda p: (F.length(p["l"]) < 35) & (F.length(p["r"]) < 35))
-    return small.where(F.col("size").between(3, 40) & short).orderBy("partition").limit(8).select("partition", "size")
+    nation, region, customer = (K.table(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    r = F.when(F.col("n_nationkey") == 2, F.repeat(F.lit("long name "), 9)).otherwise(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")))
+    p = nation.select((F.col("n_nationkey") % 6).cast("long").alias("partition"), F.lower("n_name").alias("l"), r.alias("r"))
+    p = p.union(region.where("r_regionkey < 2").select(F.lit(9).cast("long"), F.lower("r_name"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))))
+    p = p.union(customer.select("c_mktsegment").distinct().select(F.lit(8).cast("long"), F.lower("c_mktsegment"), F.concat(F.lit("s"), "c_mktsegment")))
+    return R.preview(R.nested(p, p)).select("partition", "size")
 
 
 # ---- baselines
@@ -477,12 +529,14 @@ def schema_cc(spark, sf_dir):
     return _digest(B.schema_cc(_first_columns(spark, sf_dir), 0.8))
 
 
-@query(f"""WITH {_TWO}, d AS (SELECT count(DISTINCT l || '>' || r) AS size FROM two GROUP BY domain), w AS (SELECT count(DISTINCT l || '>' || r) AS size FROM two),
-u AS (SELECT 'UnionDomain' AS method, size FROM d UNION ALL SELECT 'UnionWeb', size FROM w)
-SELECT method, count(*) AS mappings, CAST(sum(size) AS BIGINT) AS pairs, CAST(max(size) AS INTEGER) AS largest, round(avg(size), 9) AS mean_size FROM u GROUP BY method""")
+_OWN = GROUPED[len(K.sql(K.COARSE)) :].replace("roots", "own_roots")  # the corpus is there already
+@query(f"""{_CC}{_OWN}, own AS (SELECT size, num_source_tables AS n FROM maps), d AS (SELECT count(DISTINCT l || '>' || r) AS size, count(DISTINCT table_idx) AS n FROM two GROUP BY domain), w AS (SELECT count(DISTINCT l || '>' || r) AS size, count(DISTINCT table_idx) AS n FROM two),
+c AS (SELECT count(DISTINCT l || '>' || r) AS size, count(DISTINCT t) AS n FROM roots JOIN p ON t = v GROUP BY root),
+u AS (SELECT 'UnionDomain' AS method, size, n FROM d UNION ALL SELECT 'UnionWeb', size, n FROM w UNION ALL SELECT 'SchemaCC', size, n FROM c UNION ALL SELECT 'Synthesis', size, n FROM own)
+SELECT method, count(*) AS mappings, CAST(sum(size) AS BIGINT) AS pairs, CAST(max(size) AS INTEGER) AS largest, round(avg(size), 9) AS mean_size, count(*) FILTER (n > 1) AS multi_table FROM u GROUP BY method""")
 def baseline_report(spark, sf_dir):
     rows = _first_columns(spark, sf_dir)
-    return B.report(B.union_domain(rows), B.union_web(rows)).withColumn("mean_size", F.round("mean_size", 9))
+    return B.report(B.union_domain(rows), B.union_web(rows), B.schema_cc(rows, 0.8), B.of_mappings(_grouped(spark, sf_dir)[3])).withColumn("mean_size", F.round("mean_size", 9))
 
 
 # ---- evaluation
@@ -506,13 +560,19 @@ def _gold(spark, sf_dir):
 k AS (SELECT a, b, bool_or(s = 'g') AS g, bool_or(s = 'p') AS p FROM (SELECT *, 'g' AS s FROM g UNION ALL SELECT *, 'p' FROM p) GROUP BY ALL),
 t AS (SELECT count(*) FILTER (g) AS n_g, count(*) FILTER (p) AS n_p, count(*) FILTER (g AND p) AS n_p_g,
   count(*) FILTER (g AND a IN (SELECT v FROM cv) AND b IN (SELECT v FROM cv)) AS n_ach, count(*) FILTER (g AND p AND a IN (SELECT v FROM cv) AND b IN (SELECT v FROM cv)) AS n_p_ach,
-  count(*) FILTER (p AND a IN (SELECT v FROM gv) AND b IN (SELECT v FROM gv)) AS n_sc, count(*) FILTER (p AND g AND a IN (SELECT v FROM gv) AND b IN (SELECT v FROM gv)) AS n_sc_g FROM k)
-SELECT n_g, n_p, n_p_g, n_ach, n_p_ach, n_sc, n_sc_g, round(n_p_g / n_p, 9) AS precision, round(n_p_g / n_g, 9) AS recall, round(2 * (n_p_g / n_p) * (n_p_g / n_g) / (n_p_g / n_p + n_p_g / n_g), 9) AS f1,
-  round(n_p_ach / n_ach, 9) AS achievable_recall, round(n_sc_g / n_sc, 9) AS scoped_precision FROM t""")
+  count(*) FILTER (p AND a IN (SELECT v FROM gv) AND b IN (SELECT v FROM gv)) AS n_sc, count(*) FILTER (p AND g AND a IN (SELECT v FROM gv) AND b IN (SELECT v FROM gv)) AS n_sc_g,
+  count(*) FILTER (p AND g AND a IN (SELECT v FROM gv) AND b IN (SELECT v FROM gv) AND a IN (SELECT v FROM cv) AND b IN (SELECT v FROM cv)) AS n_sc_ach FROM k),
+cov AS (SELECT DISTINCT least(lower(n_name), lower(r_name)) AS a, greatest(lower(n_name), lower(r_name)) AS b FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 3 > 0),
+tc AS (SELECT count(*) AS n_cov, count(*) FILTER (p) AS n_p_cov FROM cov LEFT JOIN k USING (a, b)),
+sc AS (SELECT n_sc_ach / n_sc AS sp, n_sc_ach / n_ach AS sr FROM t)
+SELECT n_g, n_p, n_p_g, n_ach, n_p_ach, n_sc, n_sc_g, n_cov, n_p_cov, round(n_p_cov / n_cov, 9) AS covered_recall, round(2 * sp * sr / (sp + sr), 9) AS scoped_f1, round(n_p_g / n_p, 9) AS precision, round(n_p_g / n_g, 9) AS recall, round(2 * (n_p_g / n_p) * (n_p_g / n_g) / (n_p_g / n_p + n_p_g / n_g), 9) AS f1,
+  round(n_p_ach / n_ach, 9) AS achievable_recall, round(n_sc_g / n_sc, 9) AS scoped_precision FROM t, tc, sc""")
 def benchmark_eval(spark, sf_dir):
     rows = R.exploded(_maps(spark, sf_dir)[3])
-    out = E.evaluate(_gold(spark, sf_dir), R.resolve(rows), K.cells(spark, sf_dir, K.COARSE))
-    return out.select("n_g", "n_p", "n_p_g", "n_ach", "n_p_ach", "n_sc", "n_sc_g", *[r9(c, c) for c in ("precision", "recall", "f1", "achievable_recall", "scoped_precision")])
+    nation, region = K.table(spark, sf_dir, "nation"), K.table(spark, sf_dir, "region")
+    covered = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).where("n_nationkey % 3 > 0").select(F.lower("n_name").alias("l"), F.lower("r_name").alias("r"))
+    out = E.evaluate(_gold(spark, sf_dir), R.resolve(rows), K.cells(spark, sf_dir, K.COARSE), covered)
+    return out.select("n_g", "n_p", "n_p_g", "n_ach", "n_p_ach", "n_sc", "n_sc_g", "n_cov", "n_p_cov", *[r9(c, c) for c in ("precision", "recall", "f1", "achievable_recall", "scoped_precision", "covered_recall", "scoped_f1")])
 
 
 _COVER = f"""WITH {K.sql()}, {GOLD}, {UND}, rows_ AS (SELECT DISTINCT table_idx, row_idx, value AS v FROM cells WHERE value IN (SELECT a FROM g UNION SELECT b FROM g)),
@@ -529,12 +589,12 @@ def cover_tables(spark, sf_dir):
     return E.cover_tables(_gold(spark, sf_dir), K.cells(spark, sf_dir))
 
 
-@query(f"""WITH {K.sql(K.COARSE)}, cl AS (SELECT table_idx, col_idx, string_agg(value, chr(9) ORDER BY row_idx) AS c FROM cells WHERE col_idx < 2 GROUP BY ALL),
-t AS (SELECT table_idx, md5(string_agg(c, chr(10) ORDER BY col_idx)) AS key FROM cl GROUP BY table_idx), cov AS (SELECT * FROM t WHERE table_idx % 5 = 0),
+@query(f"""WITH {K.sql(K.COARSE)}, cl AS (SELECT table_idx, col_idx, list(value ORDER BY row_idx) AS c FROM cells GROUP BY ALL),
+t AS (SELECT table_idx, md5(CAST(to_json(list(c ORDER BY col_idx)) AS VARCHAR)) AS key FROM cl GROUP BY table_idx), cov AS (SELECT * FROM t WHERE table_idx % 5 = 0),
 f AS (SELECT t.*, row_number() OVER (ORDER BY key, table_idx) AS i FROM t WHERE key NOT IN (SELECT key FROM cov))
 SELECT table_idx, key, 'cover' AS source FROM cov UNION ALL SELECT table_idx, key, 'filler' FROM f WHERE i <= greatest(0, 20 - (SELECT count(*) FROM cov))""")
 def covered_sample(spark, sf_dir):
-    tables = checkpointed(E.table_keys(L.to_tables(K.cells(spark, sf_dir, K.COARSE).where("col_idx < 2"))))
+    tables = checkpointed(E.table_keys(L.to_tables(K.cells(spark, sf_dir, K.COARSE))))
     return E.covered_sample(tables.where("table_idx % 5 = 0"), tables, 20)
 
 
@@ -542,7 +602,6 @@ def covered_sample(spark, sf_dir):
 
 WORDS = "('NATION_1 (old name)'), ('U.S.A.'), ('  Two\tWords '), ('a-b,c.'), ('The Republic of Korea'), ('korea republic'), ('New York City'), ('nyc'), ('')"
 TEXTS = f"""texts AS (SELECT DISTINCT p_name AS t FROM part UNION SELECT n_name FROM nation UNION SELECT * FROM (VALUES {WORDS}) UNION SELECT split_part(p_name, ' ', 2) || ' of ' || split_part(p_name, ' ', 1) FROM part)"""
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(V, e' \t')), '\(.*?\)', '', 'g'), '([a-z])\.([a-z])', '\1\2', 'g'), '([a-z])\.([a-z])', '\1\2', 'g'), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 NORMED = TEXTS + ", nt AS (SELECT t, " + _NORM.replace("V", "t") + " AS s FROM texts)"
 PAIRED = NORMED + ", pr AS (SELECT a.t AS a, b.t AS b, a.s AS x, b.s AS y FROM nt a, nt b WHERE a.t < b.t)"
 
@@ -603,9 +662,7 @@ def enhanced_match(spark, sf_dir):
     return s.withColumn("score", T.strategy_score(F.col("strategy")))
 
 
-_NG = "CASE WHEN V = '' THEN [] ELSE list_distinct(list_transform(range(1, greatest(length(V) - 1, 1) + 1), lambda i: substr(V, i, 2))) END"
 _WG = "list_distinct(list_filter(string_split(V, ' '), lambda w: w <> ''))"
-_JAC = "CASE WHEN len(list_distinct({0} || {1})) = 0 THEN 1.0 ELSE len(list_intersect({0}, {1})) / len(list_distinct({0} || {1})) END"
 
 
 @query(f"""WITH {PAIRED}, ng AS (SELECT a, b, {_NG.replace('V', 'x')} AS cx, {_NG.replace('V', 'y')} AS cy, {_WG.replace('V', 'x')} AS wx, {_WG.replace('V', 'y')} AS wy FROM pr)
@@ -615,13 +672,18 @@ def jaccard(spark, sf_dir):
     return _text_pairs(spark, sf_dir).select("a", "b", r9(T.char_jaccard(a, b), "chars"), r9(T.word_jaccard(a, b), "words"), (T.jaccard_similarity(a, b) >= 0.5).alias("matched"))
 
 
-@query()
+_JP = "jp AS (SELECT a AS x, b AS y FROM pr UNION SELECT x, y FROM pr)"
+
+
+@query(f"WITH RECURSIVE {PAIRED}, {_JP}{_JARO} SELECT a, b, round(u.jaro, 9) AS jaro, round(u.winkler, 9) AS jaro_winkler, a <> '' AND b <> '' AND w.winkler >= 0.85 AS matched FROM pr JOIN jw u ON u.x = a AND u.y = b JOIN jw w ON w.x = pr.x AND w.y = pr.y")
 def jaro_winkler(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     return _text_pairs(spark, sf_dir).select("a", "b", r9(J.jaro(a, b), "jaro"), r9(J.jaro_winkler(a, b), "jaro_winkler"), J.jaro_winkler_match(a, b).alias("matched"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {STRATEGY.replace('), ms AS', '), ms0 AS')}, {_JP}{_JARO}, mk AS (SELECT st.x = st.y AS exact, {_APX.format('st.x', 'st.y')} AS edit, len(tx) > 0 AND len(ty) > 0 AND len(list_intersect(tx, ty)) / greatest(len(list_distinct(tx || ty)), 1) >= 0.8 AS token_set,
+  (st.x = iy AND length(st.x) >= 2) OR (st.y = ix AND length(st.y) >= 2) AS abbreviation, greatest({_JAC.format(_NG.replace('V', 'st.x'), _NG.replace('V', 'st.y'))}, {_JAC.format(_WG.replace('V', 'st.x'), _WG.replace('V', 'st.y'))}) >= 0.5 AS jaccard, a <> '' AND b <> '' AND winkler >= 0.85 AS jaro_winkler FROM st JOIN jw ON jw.x = st.x AND jw.y = st.y)
+SELECT count(*) AS pairs, {', '.join(f'count(*) FILTER ({m}) AS {m}' for m in ('exact', 'edit', 'token_set', 'abbreviation', 'jaccard', 'jaro_winkler'))} FROM mk""")
 def matcher_compare(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     methods = {"exact": T.exact_match(a, b), "edit": T.edit_distance_match(a, b), "token_set": T.token_set_match(a, b), "abbreviation": T.abbreviation_match(a, b), "jaccard": T.jaccard_similarity(a, b) >= 0.5, "jaro_winkler": J.jaro_winkler_match(a, b)}
@@ -667,13 +729,34 @@ def _raw_tables(spark, sf_dir):
     return checkpointed(s.select("table_idx", F.array(*[F.transform("s", f) for f in cols]).alias("columns")))
 
 
+def _as_file(spark, lines):
+    """Lines as one text file's path in the shared folder; the corpus of these queries is small."""
+    path = f"{shared_folder(spark)}/lines"
+    lines.coalesce(1).write.text(path)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))
+    return files[0].getPath().toString()
+
+
 @query(f"""WITH {_NESTED}, k AS (SELECT table_idx, c, row_idx, regexp_replace(lower(trim(v)), '\\s+', ' ', 'g') AS v FROM raw), d AS (SELECT table_idx, c FROM k GROUP BY ALL HAVING count(DISTINCT nullif(v, '')) >= 2)
-SELECT table_idx, CAST(c AS INTEGER) AS col_idx, count(*) AS n, md5(string_agg(v, '|' ORDER BY row_idx)) AS digest FROM k JOIN d USING (table_idx, c) GROUP BY ALL""")
+SELECT table_idx, CAST((SELECT count(*) FROM d WHERE d.table_idx = k.table_idx AND d.c < k.c) AS INTEGER) AS col_idx, count(*) AS n, md5(string_agg(v, '|' ORDER BY row_idx)) AS digest FROM k JOIN d USING (table_idx, c) GROUP BY table_idx, c""")
 def load_corpus(spark, sf_dir):
-    clean = F.transform("columns", lambda c: F.transform(c, T.clean_value))
-    keep = lambda c: F.size(F.array_distinct(F.filter(c["v"], lambda v: v != ""))) >= 2
-    cols = _raw_tables(spark, sf_dir).select("table_idx", F.explode(F.filter(F.transform(clean, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), keep)).alias("c"))
-    return cols.select("table_idx", F.col("c.i").alias("col_idx"), F.size("c.v").cast("long").alias("n"), F.md5(F.array_join("c.v", "|")).alias("digest"))
+    """Through the loader, from JSON lines among which some are no tables; columns are numbered as they were kept."""
+    header = F.transform("columns", lambda c: F.concat(F.array(F.lit("Head")), c))
+    lines = F.to_json(F.struct(F.col("table_idx").alias("id"), header.alias("relation"), F.lit("RELATION").alias("tableType"), F.lit(True).alias("hasHeader"), F.lit(0).alias("headerRowIndex")))
+    tables = L.load_corpus(spark, _as_file(spark, _raw_tables(spark, sf_dir).select(F.explode(F.array(lines, F.lit(""), F.lit("{broken"), F.lit('{"relation": [["a", "b"]], "tableType": "ENTITY"}'))).alias("value"))))
+    cols = tables.select(F.get_json_object("meta", "$.id").cast("long").alias("table_idx"), F.posexplode("columns").alias("place", "v"))
+    return cols.select("table_idx", F.col("place").alias("col_idx"), F.size("v").cast("long").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
+
+
+@query(f"""WITH {_NESTED}, two AS (SELECT table_idx, CASE WHEN table_idx % 5 > 0 THEN CAST(table_idx % 5 AS VARCHAR) ELSE 'unknown' END AS domain, lower(trim(max(CASE WHEN c = 0 THEN v END))) AS l, lower(trim(max(CASE WHEN c = 1 THEN v END))) AS r FROM raw WHERE c < 2 GROUP BY table_idx, row_idx)
+SELECT domain || '_ncols_6' AS group_id, count(DISTINCT table_idx) AS num_source_tables, count(DISTINCT l || '>' || r) AS size FROM two GROUP BY domain""")
+def load_raw(spark, sf_dir):
+    """Raw JSON lines with a page's id (every fifth without), and the baseline over them."""
+    page = F.when(F.col("table_idx") % 5 > 0, F.col("table_idx") % 5)
+    lines = F.to_json(F.struct(F.col("columns").alias("relation"), page.alias("pgId")))
+    tables = L.load_raw_jsonl(spark, _as_file(spark, _raw_tables(spark, sf_dir).select(F.explode(F.array(lines, F.lit("  "))).alias("value"))))
+    return B.union_domain(B.first_columns(tables)).select("group_id", "num_source_tables", F.col("size").cast("long").alias("size"))
 
 
 @query(f"""WITH {_NESTED}, k AS (SELECT table_idx, c, row_idx, CASE WHEN lower(trim(v)) IN ('', '?', '—', '-', 'total', 'null', 'none', 'unknown', 'x') THEN '' ELSE trim(v) END AS v FROM raw),
@@ -732,6 +815,11 @@ def cells_medium_tables(spark, sf_dir):
     return X.medium_tables(_store(spark, sf_dir))
 
 
+@query(f"WITH {STORE} SELECT rowid, colid, term, tokenized FROM store WHERE tableid = 7 ORDER BY rowid, colid LIMIT 100")
+def cells_listing(spark, sf_dir):
+    return X.listing(_store(spark, sf_dir), 7)
+
+
 @query(f"""WITH {STORE} SELECT 'null' AS kind, tableid, colid, rowid FROM store WHERE tokenized IS NULL OR trim(tokenized) = '' UNION ALL SELECT 'numeric', tableid, colid, rowid FROM store WHERE regexp_matches(tokenized, '^[0-9]+$')
 UNION ALL SELECT 'string', tableid, colid, rowid FROM store WHERE tokenized IS NOT NULL AND trim(tokenized) <> '' AND NOT regexp_matches(tokenized, '^[0-9]+$')""")
 def cells_predicates(spark, sf_dir):
@@ -752,7 +840,7 @@ def last_full_row(spark, sf_dir):
 
 @query(f"""WITH {STORE}, f AS (SELECT * FROM store WHERE tokenized IS NOT NULL AND lower(trim(tokenized)) NOT IN ('', 'null', 'none', 'nan', 'n/a', 'na', '-'))
 SELECT tableid, colid, rowid, CASE WHEN lower(trim(tokenized)) NOT IN ('', 'null', 'none', 'nan', 'n/a', 'na', '-') THEN tokenized END AS tokenized FROM store
-WHERE (tableid, rowid) IN (SELECT (tableid, rowid) FROM f) AND (tableid, colid) IN (SELECT (tableid, colid) FROM f)""")
+JOIN (SELECT DISTINCT tableid, rowid FROM f) USING (tableid, rowid) JOIN (SELECT DISTINCT tableid, colid FROM f) USING (tableid, colid)""")
 def without_null_rows(spark, sf_dir):
     return X.without_nulls(_store(spark, sf_dir)).select("tableid", "colid", "rowid", "tokenized")
 
@@ -778,6 +866,34 @@ def step1(spark, sf_dir):
     return V.extraction(H.rebuild(_scored(spark, sf_dir)), _cands(spark, sf_dir))
 
 
+@query(f"""WITH {COLUMNS}, f AS (SELECT CASE WHEN score >= 0.3 THEN 'kept' ELSE 'removed' END AS kind, table_idx, col_idx, round(score, 9) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY score >= 0.3 ORDER BY table_idx, col_idx) <= 3)
+SELECT kind, table_idx, col_idx, score, (SELECT string_agg(value, '|' ORDER BY row_idx) FROM (SELECT row_idx, value FROM cells c WHERE c.table_idx = f.table_idx AND c.col_idx = f.col_idx ORDER BY row_idx LIMIT 5)) AS examples FROM f""")
+def step1_columns(spark, sf_dir):
+    found = V.kept_examples(_scored(spark, sf_dir), K.cells(spark, sf_dir))
+    return found.select("kind", "table_idx", "col_idx", r9("score", "score"), F.array_join("examples", "|").alias("examples"))
+
+
+@query(f"WITH {CANDS} SELECT cand, round(any_value(theta), 9) AS theta, string_agg(l || '>' || r, '|' ORDER BY pos) AS sample FROM cp JOIN cands USING (cand) WHERE cand < 5 AND pos < 3 GROUP BY cand")
+def step1_candidates(spark, sf_dir):
+    return _sampled(V.candidate_examples(_cands(spark, sf_dir))).select("cand", r9("theta", "theta"), "sample")
+
+
+_LOST = "lo AS (SELECT m.partition, m.size - s.k AS removed, s.k AS size FROM maps m JOIN (SELECT partition, count(*) AS k FROM res GROUP BY partition) s USING (partition))"
+
+
+@query(f"{G}, {_LOST} SELECT count(*) AS total_mappings, count(*) FILTER (removed > 0) AS mappings_with_conflicts, CAST(sum(removed) AS BIGINT) AS total_pairs_removed FROM lo")
+def step3_totals(spark, sf_dir):
+    rows = R.exploded(_grouped(spark, sf_dir)[3])
+    return V.resolution(R.nested(R.resolve(rows), rows))
+
+
+@query(f"""{G}, {_LOST}, f AS (SELECT * FROM lo ORDER BY size DESC, partition LIMIT 5), sm AS (SELECT partition, string_agg(l || '>' || r, '|' ORDER BY l, r) AS sample FROM (SELECT * FROM res QUALIFY row_number() OVER (PARTITION BY partition ORDER BY l, r) <= 3) GROUP BY partition)
+SELECT partition, CAST(size AS INTEGER) AS size, CAST(removed AS BIGINT) AS num_conflicts_removed, sample FROM f JOIN sm USING (partition)""")
+def step3_largest(spark, sf_dir):
+    rows = R.exploded(_grouped(spark, sf_dir)[3])
+    return _sampled(V.resolved_largest(R.nested(R.resolve(rows), rows)))
+
+
 @query(f"{M} SELECT count(*) AS total, count(*) FILTER (num_source_tables = 1) AS singletons, count(*) FILTER (num_source_tables <> 1) AS multi, round(avg(size), 1) AS avg_pairs FROM maps")
 def step2(spark, sf_dir):
     return V.synthesis(_maps(spark, sf_dir)[3])

@@ -9,10 +9,11 @@ import json
 import tarfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.functions.text import WIKI_NULLS, clean_value, strip, wiki_clean
+from mapweave.operators.graph import checkpointed, numbered
 
 _RECORD = "relation array<array<string>>, tableType string, hasHeader boolean, headerRowIndex int"
 
@@ -37,6 +38,14 @@ def load_jsonl(spark: SparkSession, path: str, table_types=("RELATION",), strip_
     return rows.select("table_idx", F.col("line").alias("meta"), clean.alias("columns")).where(F.size("columns") > 0)
 
 
+def load_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """tables(table_idx, domain, columns) from JSON lines as they are, for the baselines: nothing is cleaned or left out but blank lines; domain is the
+    page's id, null where there is none. A line that is no JSON is an error, as nothing tells what it held."""
+    rows = _placed(spark.read.text(path), "value").where(F.trim("line") != "")
+    r = F.from_json("line", "relation array<array<string>>, pgId string", {"mode": "FAILFAST"})
+    return rows.select("table_idx", r.alias("r")).select("table_idx", F.col("r.pgId").alias("domain"), F.coalesce("r.relation", F.array().cast("array<array<string>>")).alias("columns"))
+
+
 def load_csv_folder(spark: SparkSession, path: str) -> DataFrame:
     """tables from a folder of CSV files, one table each in order of names; the first row is data, short rows are padded."""
     import csv
@@ -54,9 +63,8 @@ def load_csv_folder(spark: SparkSession, path: str) -> DataFrame:
 
     raw = files.select("path", "content").mapInArrow(parsed, "path string, raw array<array<string>>")
     name = F.element_at(F.split("path", "/"), -1)
-    order = Window.orderBy("name")  # a number for each file
-    out = raw.select(name.alias("name"), kept_columns(F.transform("raw", lambda c: F.transform(c, clean_value))).alias("columns")).where(F.size("columns") > 0)
-    return out.select((F.row_number().over(order) - 1).cast("long").alias("table_idx"), F.to_json(F.struct(F.col("name").alias("source"))).alias("meta"), "columns")
+    out = checkpointed(raw.select(name.alias("name"), kept_columns(F.transform("raw", lambda c: F.transform(c, clean_value))).alias("columns")).where(F.size("columns") > 0))
+    return out.join(numbered(out.select("name"), ["name"], "table_idx"), "name").select("table_idx", F.to_json(F.struct(F.col("name").alias("source"))).alias("meta"), "columns")
 
 
 def load_corpus(spark: SparkSession, path: str, table_types=("RELATION",), strip_headers: bool = True) -> DataFrame:
@@ -125,8 +133,14 @@ def load_archives(spark: SparkSession, path: str, most: int = 0) -> DataFrame:
     return lines.limit(most) if most > 0 else lines
 
 
-def read_cells_jdbc(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """A tokenised cell store (tableid, colid, rowid, term, tokenized) over JDBC; the caller gives url, dbtable or query, and login."""
+def read_cells_jdbc(spark: SparkSession, options: dict[str, str], partitions: int = 1, key: str = "tableid") -> DataFrame:
+    """A tokenised cell store (tableid, colid, rowid, term, tokenized) over JDBC; the caller gives url, dbtable and login. With more than one
+    partition, the store is read in that many ranges of an integer key at once, whose bounds the store tells."""
+    if partitions > 1:
+        own = {k: v for k, v in options.items() if k != "dbtable"}
+        bounds = spark.read.format("jdbc").options(**own).option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {options['dbtable']}").load().first()
+        if bounds[0] is not None and bounds[0] < bounds[1]:
+            options = options | {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
     return spark.read.format("jdbc").options(**options).load()
 
 
@@ -136,11 +150,12 @@ def to_cells(tables: DataFrame) -> DataFrame:
 
 
 def to_tables(cells: DataFrame) -> DataFrame:
-    """Cells nested again; gaps in rows become empty strings."""
-    height = F.array_max(F.transform("v", lambda x: x["row_idx"]))
-    held = F.map_from_entries(F.transform("v", lambda x: F.struct(x["row_idx"], x["value"])))
-    cols = cells.groupBy("table_idx", "col_idx").agg(F.collect_list(F.struct("row_idx", "value")).alias("v"))
-    cols = cols.select("table_idx", "col_idx", F.transform(F.sequence(F.lit(0).cast("bigint"), height.cast("bigint")), lambda i: F.coalesce(F.element_at(held, i.cast(dict(cells.dtypes)["row_idx"])), F.lit(""))).alias("vals"))
+    """Cells nested again; gaps in rows and nulls become empty strings. Of cells in one place the last in order of values counts."""
+    cols = cells.groupBy("table_idx", "col_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.coalesce("value", F.lit("")).alias("value")))).alias("v"))
+    # each value brings the empty rows before it, so that no cell is looked up
+    filled = F.aggregate("v", F.array().cast("array<string>"), lambda out, x: F.concat(F.when(F.size(out) > x["row_idx"], F.slice(out, 1, x["row_idx"].cast("int"))).otherwise(F.concat(out, F.array_repeat(F.lit(""), (x["row_idx"] - F.size(out)).cast("int")))), F.array(x["value"])))
+    dense = F.size(F.array_distinct(F.transform("v", lambda x: x["row_idx"]))) == F.greatest(F.element_at("v", -1)["row_idx"] + 1, F.size("v"))
+    cols = cols.select("table_idx", "col_idx", F.when(dense, F.transform("v", lambda x: x["value"])).otherwise(filled).alias("vals"))
     return cols.groupBy("table_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "vals"))), lambda x: x["vals"]).alias("columns"))
 
 
