@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.functions import text as T
-from mapweave.operators.graph import components
+from mapweave.operators.graph import checkpointed, components
 
 EDGE = ["ci", "cj"]
 
@@ -60,9 +60,9 @@ def edge_scores(pairs: DataFrame, edges: DataFrame, matcher=None, pair_cap: int
     else:
         # each pair of values that meets in some edge is compared once
         lefts = e.join(a.select("ci", "l1").distinct(), "ci").join(b.select("cj", "l2").distinct(), "cj")
-        near = lefts.select("l1", "l2").distinct().where(matcher(F.col("l1"), F.col("l2")))
+        near = checkpointed(lefts.select("l1", "l2").distinct()).where(matcher(F.col("l1"), F.col("l2")))  # else the matcher is pushed below distinct
         met = lefts.join(near, ["l1", "l2"]).join(a, ["ci", "l1"]).join(b, ["cj", "l2"])
-        agree = met.select("r1", "r2").distinct().select(F.col("r1").alias("x"), F.col("r2").alias("y"), matcher(F.col("r1"), F.col("r2")).alias("same"))
+        agree = checkpointed(met.select("r1", "r2").distinct()).select(F.col("r1").alias("x"), F.col("r2").alias("y"), matcher(F.col("r1"), F.col("r2")).alias("same"))
         met = met.join(agree, (F.col("r1") == F.col("x")) & (F.col("r2") == F.col("y"))).select(*EDGE, "l1", "r1", "same")
     rows = met.groupBy(*EDGE, "l1", "r1").agg(F.bool_or("same").alias("hit"), F.bool_or(~F.col("same")).alias("clash"))
     sums = rows.groupBy(*EDGE).agg(F.count_if("hit").alias("inter"), F.count_distinct(F.when(F.col("clash"), F.col("l1"))).alias("conflicts"))

@@ -138,7 +138,8 @@ def read_cells_jdbc(spark: SparkSession, options: dict[str, str], partitions: in
     partition, the store is read in that many ranges of an integer key at once, whose bounds the store tells."""
     if partitions > 1:
         own = {k: v for k, v in options.items() if k != "dbtable"}
-        bounds = spark.read.format("jdbc").options(**own).option("query", f"SELECT min({key}) AS low, max({key}) AS high FROM {options['dbtable']}").load().first()
+        name = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(key)
+        bounds = spark.read.format("jdbc").options(**own).option("query", f"SELECT min({name}) AS low, max({name}) AS high FROM {options['dbtable']}").load().first()
         if bounds[0] is not None and bounds[0] < bounds[1]:
             options = options | {"partitionColumn": key, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(partitions)}
     return spark.read.format("jdbc").options(**options).load()
