@@ -4,6 +4,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,12 +32,21 @@ def residue(id_col, modulus: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share; a folder of our own only where the setting is missing, as in local tests."""
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share. Where the setting is missing, a folder of our own in local
+    mode, as in tests; elsewhere that would lose data, and is an error. All such folders go when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="mapweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/mapweave/{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/mapweave/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -46,9 +56,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long: Arrow batches of some hundred rows keep memory low on both sides of the pipe."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, Arrow batches have some hundred rows, for texts are long: that keeps memory low on both sides of the pipe. What is read later
+    isn't affected, so everything that Python works on must be stored inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "500")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def relax() -> None:

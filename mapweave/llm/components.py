@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.common import stored
 
-#: Edges joined at once inside a task.
-_EDGES = 1 << 20
+#: Edges joined at once inside a task, and edges that one task may join by itself (16 bytes each).
+_EDGES, ONE_TASK = 1 << 20, 2_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +48,26 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _whole(batches):
+    """(v, root) for all vertices of all edges."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if held:
+        a, b = np.concatenate(held, axis=1)
+        v, root = forest(a, b)
+        roots = np.setdiff1d(np.concatenate([a, b]), v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([v, roots])), pa.array(np.concatenate([root, roots]))], ["v", "root"])
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(v, root) for each vertex of `edges` (columns a, b of type long); root is the smallest vertex of the component.
+    """(v, root) for each vertex of `edges` (columns a, b of type long, stored: they are read twice); root is the smallest vertex of the component.
 
-    Each round turns edges into stars inside tasks and then applies the large-star and small-star steps; both only need the minimum of a
-    vertex's neighbours, which is aggregated before the shuffle. It ends when nothing changes. No edges give no rows; loops and
+    Up to ONE_TASK edges, which is checked, are joined by one task. Beyond, each round turns edges into stars inside tasks and then applies the large-star and small-star steps; both only need the minimum of a
+    vertex's neighbours, which is aggregated before the shuffle. That ends when nothing changes. No edges give no rows; loops and
     repeated edges do no harm; edges with a null end are ignored.
     """
     now = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    if now.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return stored(now.coalesce(1).mapInArrow(_whole, "v long, root long"))
     loops = now.where("a = b").select("a")
     now = now.where("a <> b").mapInArrow(_stars, "a long, b long")
     now = stored(now.distinct())

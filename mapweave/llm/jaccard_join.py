@@ -6,13 +6,18 @@ shingle, and one without words has none. Two documents link when 100 * |A & B| >
 Shingles are in one global order: the rare ones first (by hash), then the common ones by frequency. Two sets that link share a shingle among
 the first |A| - ceil(percent * |A| / 100) + 1 of each. So (1) equal texts count as one, (2) prefixes are
 brought together by shingle, and documents that share one and are of fitting sizes form candidate groups, found as components
-of a graph with a chain of edges for each shingle, never with all pairs; (3) each group's sets go to one task, once, where they are stored in a
-trie; each set walks it, shares the overlap with all sets below a node, and leaves subtrees that cannot reach the needed overlap
-by the remaining lengths or sizes. Groups beyond `group_shingles` are cut into blocks, each pair of blocks is joined in a task of its own,
-and components of the links found give the groups.
+of a graph with a chain of edges for each shingle, never with all pairs; (3) a group's sets go to one task, once, where they are stored in a
+trie in the global order, read from its other end: the frequent shingles lie at the top, where sets share them. Each set walks the trie, shares the
+overlap with all sets below a node, and leaves subtrees that cannot reach the needed overlap by the remaining lengths or sizes.
+
+A group of more than `block_sets` sets or `group_shingles` shingles is dealt into blocks by a hash. (a) Each block is joined by itself. (b) The `PIVOTS`
+sets of the group from which most links were seen visit all blocks, which ties together what belongs to large clusters. (c) Of sets in different
+components then, one at least lies outside the group's largest; such sets visit just the other blocks that hold a shingle of their prefix. So
+no pair of blocks is joined for its own sake, a block is one task's work, visitors pass through it one at a time, and no link is lost.
 
 Frequencies cover all documents; they only choose the order, so the `HINTS` most frequent are kept. Hashes of 64 bits stand for
-words and shingles and of 128 bits for texts.
+words and shingles and of 128 bits for texts, of 64 bits for texts of divided groups. A filter of 16 bits for each text of a candidate group, 32 MB at most,
+keeps other texts' sets from being shuffled; when it is full, more sets are shuffled than need be.
 
 Results: component_id is the smallest id reachable by links. Texts that are null, empty or white space have no shingles, link with nothing and
 keep their own id. Rows with a null id take part, but are never a component's id unless all its ids are null. Repeated rows are copies. Extra
@@ -24,7 +29,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mapweave.llm.common import map_slices, relax, slices, small_batches, stored
@@ -34,10 +39,12 @@ from mapweave.llm.components import components, forest
 HINTS, COMMON = 600_000, 2
 #: Texts in candidate groups whose groups' names are sent to all executors (16 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_TEXTS = 500_000
-#: Shingles of a task's buffer, for a bucket, and of a candidate group that one task joins.
+#: Shingles of a task's buffer, for a bucket, and of a candidate group or block that one task joins.
 BUFFER, BUCKET, GROUP = 400_000, 700_000, 2_000_000
-#: Bits of the filter that keeps documents outside all candidate groups from being shuffled.
-FILTER_BITS = 25
+#: Sets of a candidate group or block that one task joins, and sets of a divided group that visit all its blocks.
+BLOCK_SETS, PIVOTS = 1000, 16
+#: The largest filter that keeps documents outside all candidate groups from being shuffled has 2 ** FILTER_BITS bits.
+FILTER_BITS = 28
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64)
 #: Bytes hashed at once; a longer word is hashed whole.
 _BYTES = 1 << 20
@@ -202,25 +209,28 @@ def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int) ->
     return rows.column("lead").to_numpy().astype(np.uint64)[::-1]
 
 
-def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int, common: np.ndarray) -> DataFrame:
+def _back(s: np.ndarray, sent, bits: int) -> np.ndarray:
+    """How far back the shingles come in the global order: 0 for the rare ones."""
+    lead, rank = sent.value
+    if not len(lead):
+        return np.zeros(len(s), dtype=np.int64)
+    short = (s >> np.uint64(64 - bits) << np.uint64(32)) | ((s << np.uint64(bits)) >> np.uint64(32))
+    at = np.minimum(np.searchsorted(lead, short), len(lead) - 1)
+    return np.where(lead[at] == short, rank[at] + 1, 0)
+
+
+def _head(s: np.ndarray, percent: int, sent, bits: int) -> np.ndarray:
+    """The prefix of a sorted set in the global order."""
+    p, back = prefix(len(s), percent), _back(s, sent, bits)
+    rare = s[back == 0]
+    if len(rare) >= p:
+        return rare[:p]
+    usual = back > 0
+    return np.concatenate([rare, s[usual][np.argsort(back[usual], kind="stable")][: p - len(rare)]])
+
+
+def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int, sent) -> DataFrame:
     """Edges (a, b) between keys of texts that share a prefix shingle, as chains in order of size."""
-    sc = docs.sparkSession.sparkContext
-    place = np.argsort(common, kind="stable")
-    sent = sc.broadcast((common[place], place))
-
-    def ordered(s: np.ndarray) -> np.ndarray:
-        """The prefix of a set in the global order."""
-        p, (lead, rank) = prefix(len(s), percent), sent.value
-        if not len(lead):
-            return s[:p]
-        short = (s >> np.uint64(64 - bits) << np.uint64(32)) | ((s << np.uint64(bits)) >> np.uint64(32))
-        at = np.minimum(np.searchsorted(lead, short), len(lead) - 1)
-        usual = lead[at] == short
-        rare = s[~usual]
-        if len(rare) >= p:
-            return rare[:p]
-        back = s[usual][np.argsort(rank[at[usual]], kind="stable")]
-        return np.concatenate([rare, back[: p - len(rare)]])
 
     def listed(batches):
         from pyspark import TaskContext
@@ -228,7 +238,7 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
         turn = itertools.count(TaskContext.get().partitionId() * 7)
 
         def work(sets, keys):
-            heads = [ordered(s) for s in sets]
+            heads = [_head(s, percent, sent, bits) for s in sets]
             n = [len(x) for x in heads]
             tokens = np.concatenate(heads)
             key, size = np.repeat(np.array(keys, dtype=np.int64), n), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), n)
@@ -393,50 +403,84 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (np.cumsum(n) - n), n) if total else np.zeros(0, dtype=np.int64)
 
 
-def join(sets: list[np.ndarray], percent: int, left: int | None = None) -> np.ndarray:
-    """Labels of the groups of sets that links connect: for each the smallest place in its group. With `left`, only sets before that
-    place walk, and links among the sets before it or after it may be missed."""
-    n = len(sets)
-    full = np.array([len(s) for s in sets], dtype=np.int64)
-    root = np.arange(n)
+class Block:
+    """Sets in a trie, each in the global order from its frequent end. `alone`: nothing but these sets walks it, so that shingles of one
+    set only are left out."""
+
+    def __init__(self, sets: list[np.ndarray], back_of, percent: int, alone: bool):
+        self.percent, self.full = percent, np.array([len(s) for s in sets], dtype=np.int64)
+        self.tokens, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.lexsort((self.tokens, -back_of(self.tokens)))
+        if alone:
+            order = order[count[order] > 1]
+        self.number = np.full(len(self.tokens), -1, dtype=np.int64)
+        self.number[order] = np.arange(len(order))
+        numbers, at, self.local = self.number[inverse], 0, []
+        for k in self.full.tolist():
+            x = np.sort(numbers[at : at + k])
+            self.local.append(x[np.searchsorted(x, 0) :])
+            at += k
+        self.trie, self.member = Trie(self.local, self.full), np.zeros(max(1, len(order)), dtype=np.int64)
+
+    def _walk(self, numbers: np.ndarray, size: int) -> np.ndarray:
+        self.member[numbers] = 1
+        found = self.trie.walk(self.member, size, self.full, self.percent)
+        self.member[numbers] = 0
+        return found
+
+    def own(self, i: int) -> np.ndarray:
+        """The places of the sets that link with set i, itself included."""
+        return self._walk(self.local[i], int(self.full[i]))
+
+    def visit(self, s: np.ndarray) -> np.ndarray:
+        """The places of the sets that link with a set from elsewhere."""
+        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
+        numbers = self.number[at[self.tokens[at] == s]]
+        return self._walk(numbers, len(s)) if len(numbers) else np.zeros(0, dtype=np.int64)
+
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
+class Union:
+    """Groups of 0 to n - 1, each named by its smallest member."""
+
+    def __init__(self, n: int):
+        self.root, self.groups = list(range(n)), n
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
         return i
 
+    def tie(self, i: int, j: int) -> bool:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.root[max(a, b)] = min(a, b)
+            self.groups -= 1
+        return a != b
+
+
+def join(sets: list[np.ndarray], back_of, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the smallest place in the group that links connect, and the links seen from it, up to where all were connected."""
+    n = len(sets)
+    union, seen = Union(n), np.zeros(n, dtype=np.int64)
     if n > 1:
-        tokens, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.lexsort((tokens, -count))  # the most frequent first: those are shared at the top of the trie
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        shared = count[order] > 1
-        vocabulary = int(shared.sum())
-        numbers, at, local = rank[inverse], 0, []
-        for k in full.tolist():
-            x = np.sort(numbers[at : at + k])
-            local.append(x[: np.searchsorted(x, vocabulary)])  # what only one set has is no part of an overlap
-            at += k
-        trie, member, groups = Trie(local, full), np.zeros(max(1, vocabulary), dtype=np.int64), n
-        for i in np.argsort(-full, kind="stable").tolist() if left is None else range(left):
-            if groups == 1:
+        block = Block(sets, back_of, percent, True)
+        for i in np.argsort(-block.full, kind="stable").tolist():
+            if union.groups == 1:
                 break
-            member[local[i]] = 1
-            for j in trie.walk(member, int(full[i]), full, percent).tolist():
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    groups -= 1
-            member[local[i]] = 0
-    return np.array([find(i) for i in range(n)], dtype=np.int64)
-
-
-def _members(docs: DataFrame, text: str, width: int, vertices: DataFrame) -> DataFrame:
-    """key, key2, n and set of the documents whose key may be one of `vertices` (column v)."""
-    pos = F.col("v").bitwiseAND((1 << FILTER_BITS) - 1)
+            found = block.own(i).tolist()
+            seen[i] = len(found) - 1
+            for j in found:
+                union.tie(i, j)
+    return np.array([union.find(i) for i in range(n)], dtype=np.int64), seen
+
+
+def _members(docs: DataFrame, text: str, width: int, vertices: DataFrame, count: int) -> DataFrame:
+    """key, key2, n and set of the documents whose key may be one of the `count` vertices (column v)."""
+    size = min(FILTER_BITS, max(10, int(np.ceil(np.log2(16 * max(1, count))))))
+    pos = F.col("v").bitwiseAND((1 << size) - 1)
     words = vertices.groupBy(F.shiftright(pos, 6).alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(v & {(1 << 6) - 1} AS INT))")).alias("w")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)  # a fixed size
+    bits = np.zeros(1 << (size - 6), dtype=np.int64)
     bits[words["i"].to_numpy(dtype=np.int64)] = words["w"].to_numpy(dtype=np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
@@ -449,7 +493,7 @@ def _members(docs: DataFrame, text: str, width: int, vertices: DataFrame) -> Dat
                     if not len(w):
                         continue
                     k = key_of(w)
-                    p = k[0] & ((1 << FILTER_BITS) - 1)
+                    p = k[0] & ((1 << size) - 1)
                     if k in seen or not int(sent.value[p >> 6]) >> (p & 63) & 1:
                         continue
                     if len(seen) >= 500_000:
@@ -478,9 +522,13 @@ def _grouped(batches, group_columns: int):
         yield now, held
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5, percent: int = 75, group_shingles: int = GROUP) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", width: int = 5, percent: int = 75, group_shingles: int = GROUP, block_sets: int = BLOCK_SETS) -> DataFrame:
     """row_id, n_shingles, component_id for each row of `docs`."""
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, text, row_id, width, percent, group_shingles, block_sets)
 
+
+def _near_duplicates(docs: DataFrame, text: str, row_id: str, width: int, percent: int, group_shingles: int, block_sets: int) -> DataFrame:
     def keyed(part: pa.RecordBatch) -> pa.RecordBatch:
         k1, k2, n = [], [], []
         for w in _words(part):
@@ -488,29 +536,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
             k1.append(a)
             k2.append(b)
             n.append(len(shingles(w, width)))
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64())], [row_id, "key", "key2", "n"])
+        return pa.RecordBatch.from_arrays([part.column(1), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int64())], ["row", "key", "key2", "n"])
 
-    small_batches(docs.sparkSession)
+    sc = docs.sparkSession.sparkContext
     kind = dict(docs.dtypes)[row_id]
-    keys = stored(map_slices(_texts(docs, text, F.col(row_id)), 0, f"`{row_id}` {kind}, key long, key2 long, n long", keyed))
+    keys = stored(map_slices(_texts(docs, text, F.col(f"`{row_id}`")), 0, f"row {kind}, key long, key2 long, n long", keyed))
     total = keys.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1.0, 0.4 * total / BUCKET)))))
     common = _common(docs, text, width, percent, bits)
-    groups = stored(components(_candidates(docs, text, width, percent, bits, common)))
+    place = np.argsort(common, kind="stable")
+    sent = sc.broadcast((common[place], place))  # HINTS entries at most
+    groups = stored(components(stored(_candidates(docs, text, width, percent, bits, sent))))
     sized = groups.join(keys.select("key", "n").groupBy("key").agg(F.max("n").alias("n")), F.col("v") == F.col("key")).groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
-    sized = stored(sized.withColumn("blocks", F.when(F.col("total") > group_shingles, F.ceil(2 * F.col("total") / group_shingles)).otherwise(1).cast("int")))
+    blocks = F.greatest(F.when(F.col("total") > group_shingles, F.ceil(2 * F.col("total") / group_shingles)).otherwise(1), F.ceil(F.col("count") / block_sets))
+    sized = stored(sized.withColumn("blocks", blocks.cast("int")))
     names = groups.join(sized.select(F.col("root").alias("r2"), "blocks"), F.col("root") == F.col("r2")).select("v", "root", "blocks")
-    few, large = groups.count() <= BROADCAST_TEXTS, sized.where("blocks > 1").limit(1).count() > 0
-    members = _members(docs, text, width, groups.select("v")).join(F.broadcast(names) if few else names, F.col("key") == F.col("v"))
+    count, large = groups.count(), sized.where("blocks > 1").limit(1).count() > 0
+    members = _members(docs, text, width, groups.select("v"), count).join(F.broadcast(names) if count <= BROADCAST_TEXTS else names, F.col("key") == F.col("v"))
     members = members.select("root", "blocks", "key", "key2", "set")
     members = stored(members) if large else members
-    parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(total // (4 * GROUP)))
+    parts = max(sc.defaultParallelism, int(total // (4 * GROUP)))
 
     def whole(batches):
         for _, rows in _grouped(batches, 1):
             unique = {(a, b): s for a, b, s in rows}
             names = sorted(unique)
-            label = join([np.frombuffer(unique[k], dtype=np.uint64) for k in names], percent)
+            label, _ = join([np.frombuffer(unique[k], dtype=np.uint64) for k in names], lambda t: _back(t, sent, bits), percent)
             size = np.bincount(label, minlength=len(names))
             out = [(*names[i], names[r][0]) for i, r in enumerate(label.tolist()) if size[r] > 1]
             if out:
@@ -520,33 +571,129 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     small = members.where("blocks = 1").select("root", "key", "key2", "set").repartition(parts, "root").sortWithinPartitions("root")
     labels = small.mapInArrow(whole, "key long, key2 long, label long")
     if large:
-        labels = labels.union(_blocked(members.where("blocks > 1"), percent))
+        labels = labels.union(_divided(members.where("blocks > 1"), percent, sent, bits, parts))
     labels = stored(labels.withColumnsRenamed({"key": "l1", "key2": "l2"}))
     full = keys.join(labels, (F.col("key") == F.col("l1")) & (F.col("key2") == F.col("l2")), "left")
-    full = full.select(row_id, F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("g1"), F.when(F.col("label").isNull(), F.col("key2")).otherwise(F.lit(0)).alias("g2"))
-    lowest = stored(full.where("n_shingles > 0").groupBy(F.col("g1").alias("m1"), F.col("g2").alias("m2")).agg(F.min(row_id).alias("component_id"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    full = full.select("row", F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("g1"), F.when(F.col("label").isNull(), F.col("key2")).otherwise(F.lit(0)).alias("g2"))
+    lowest = stored(full.where("n_shingles > 0").groupBy(F.col("g1").alias("m1"), F.col("g2").alias("m2")).agg(F.min("row").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m"))
     out = full.join(lowest, (F.col("g1") == F.col("m1")) & (F.col("g2") == F.col("m2")) & (F.col("n_shingles") > 0), "left")
-    return out.select(row_id, "n_shingles", F.coalesce("component_id", row_id).alias("component_id"))
+    return out.select(F.col("row").alias(row_id), "n_shingles", F.coalesce("low", "row").alias("component_id"))
+
+
+def _divided(members: DataFrame, percent: int, sent, bits: int, parts: int) -> DataFrame:
+    """key, key2, label for the texts of groups that are too large for one task."""
+    back_of = lambda t: _back(t, sent, bits)
+    rows = members.select("root", "blocks", F.pmod(F.xxhash64(F.lit(1), "key", "key2"), F.col("blocks")).cast("int").alias("x"), F.xxhash64("key", "key2").alias("u"), "key", "key2", "set")
+    rows = stored(rows.repartition(parts, "root", "x").dropDuplicates(["root", "x", "u"]))
+
+    def alone(batches):
+        for (r, x), sets in _grouped(batches, 2):
+            label, seen = join([np.frombuffer(s, dtype=np.uint64) for _, s in sets], back_of, percent)
+            u = np.array([k for k, _ in sets], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), r, dtype=np.int64)), pa.array(u), pa.array(u[label]), pa.array(seen)], ["root", "u", "label", "seen"])
+
+    dealt = lambda df, *cols: df.repartition(parts, "root", "x").sortWithinPartitions("root", "x", *cols)
+    own = stored(dealt(rows.select("root", "x", "u", "set")).mapInArrow(alone, "root long, u long, label long, seen long"))
+
+    def visited(batches):
+        """Links (a, b) between visitors' labels and residents' labels, each once; a block's residents come first."""
+        for _, some in _runs(batches, 2):
+            block, sets, c = None, [], []
+            for visitor, label, s in some:
+                if not visitor:
+                    sets.append(np.frombuffer(s, dtype=np.uint64))
+                    c.append(label)
+                    continue
+                if not sets:
+                    break  # no text was dealt to this block
+                if block is None:
+                    block, labels, out = Block(sets, back_of, percent, False), np.array(c, dtype=np.int64), set()
+                for other in np.unique(labels[block.visit(np.frombuffer(s, dtype=np.uint64))]).tolist():
+                    if other != label and (label, other) not in out:
+                        out.add((label, other))
+                        if len(out) >= 50_000:
+                            yield _edges(out)
+                            out = set()
+            if block is not None and out:
+                yield _edges(out)
+        relax()
+
+    def visits(residents: DataFrame, visitors: DataFrame) -> DataFrame:
+        """residents: root, x, c, set; visitors: the same, each where it goes. Blocks without visitors stay where they are."""
+        asked = visitors.select("root", "x").distinct()
+        both = residents.join(asked, ["root", "x"], "left_semi").select("root", "x", F.lit(False).alias("visitor"), "c", "set").union(visitors.select("root", "x", F.lit(True), "c", "set"))
+        return stored(dealt(both, "visitor").mapInArrow(visited, "a long, b long"))
+
+    # the sets from which most links were seen visit all blocks of their group
+    at = rows.select("root", "u", "x", "blocks", "set").join(own.select(F.col("u").alias("o"), F.col("label").alias("c"), "seen"), F.col("u") == F.col("o"))
+    best = Window.partitionBy("root").orderBy(F.desc("seen"), "u")
+    pivots = own.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PIVOTS).select(F.col("u").alias("p"))
+    sent_out = at.join(pivots, F.col("u") == F.col("p"), "left_semi").select("root", "c", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+    first = components(visits(at, sent_out))
+    tied = stored(at.drop("o").join(first.withColumnsRenamed({"root": "first"}), F.col("c") == F.col("v"), "left").select("root", "u", "x", "set", F.coalesce("first", "c").alias("c")))
+
+    # sets outside their group's largest component visit the other blocks that hold a shingle of their prefix
+    count = tied.groupBy("root", "c").agg(F.count("*").alias("n"))
+    largest = count.groupBy(F.col("root").alias("r")).agg(F.max_by("c", F.struct("n", "c")).alias("most"))
+    marked = stored(tied.join(largest, F.col("root") == F.col("r")).select("root", "x", "u", "c", (F.col("c") != F.col("most")).alias("other"), "set"))
+    others = marked.where("other")
+    labels = tied.select("u", "c")
+    if others.limit(1).count():
+        going = marked.select("root", "x", "u", "other", "set").mapInArrow(_prefixes(percent, sent, bits), "bucket int, tokens binary, x binary, u binary, other binary")
+        going = stored(going.groupBy("bucket").applyInArrow(_destinations, "u long, x int").distinct())
+        visitors = going.withColumnRenamed("u", "w").join(others.select("root", "u", "c", "set"), F.col("w") == F.col("u")).select("root", "x", "c", "set")
+        second = components(visits(marked, visitors))
+        labels = tied.join(second.withColumnsRenamed({"root": "second"}), F.col("c") == F.col("v"), "left").select("u", F.coalesce("second", "c").alias("c"))
+    many = labels.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("label"))
+    named = labels.join(many, F.col("c") == F.col("label"), "left_semi").select(F.col("u").alias("w"), F.col("c").alias("label"))
+    return rows.select("u", "key", "key2").join(named, F.col("u") == F.col("w")).select("key", "key2", "label")
+
+
+def _prefixes(percent: int, sent, bits: int):
+    """The prefixes of sets (root, x, u, other, set) by their shingles' leading bits, packed: shingle (mixed with the group, so that only a group's
+    own sets meet, but for chance), block, set, and whether it looks for others."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                root, x, u, other = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+                heads = [_head(np.frombuffer(s, dtype=np.uint64), percent, sent, bits) for s in part.column(4).to_pylist()]
+                n = [len(h) for h in heads]
+                tokens = np.concatenate(heads) ^ np.repeat(root.view(np.uint64) * _FACTORS[0], n)
+                order = np.argsort(tokens, kind="stable")
+                columns = [tokens[order], *(np.repeat(v, n)[order] for v in (x.astype(np.int32), u, other.astype(bool)))]
+                for b, part in enumerate(_bucketed(columns[0], bits)):
+                    if part.stop > part.start:
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([c[part].tobytes()], pa.binary()) for c in columns)], ["bucket", "tokens", "x", "u", "other"])
+
+    return run
+
+
+def _destinations(rows: pa.Table) -> pa.Table:
+    """(u, x): the blocks that hold a shingle of a set that looks for others, but its own."""
+    tokens, x, u, other = (np.concatenate([np.frombuffer(v, dtype=t) for v in rows.column(c).to_pylist()]) for c, t in (("tokens", np.uint64), ("x", np.int32), ("u", np.int64), ("other", bool)))
+    order = np.lexsort((x, tokens))
+    held, place = tokens[order], x[order]
+    once = np.r_[True, (held[1:] != held[:-1]) | (place[1:] != place[:-1])]
+    held, place = held[once], place[once]
+    who, home = u[other], x[other]
+    first = np.searchsorted(held, tokens[other], "left")
+    n = np.searchsorted(held, tokens[other], "right") - first
+    to = place[_ranges(first, n)]
+    away = to != np.repeat(home, n)
+    pairs = np.unique(np.stack([np.repeat(who, n)[away], to[away].astype(np.int64)]), axis=1) if away.any() else np.zeros((2, 0), dtype=np.int64)
+    relax()
+    return pa.table({"u": pa.array(pairs[0]), "x": pa.array(pairs[1].astype(np.int32))})
 
 
-def _blocked(members: DataFrame, percent: int) -> DataFrame:
-    """Labels for groups too large for one task: blocks of sets, each pair of blocks in a task."""
-    cut = members.withColumn("x", F.pmod(F.xxhash64("key", "key2"), F.col("blocks")).cast("int"))
-    paired = cut.withColumn("y", F.explode(F.expr("sequence(0, blocks - 1)"))).select("root", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("x"), "key", "key2", "set")
+def _edges(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def pairs(batches):
-        for (_, i, j), rows in _grouped(batches, 3):
-            unique = {(x, a, b): s for x, a, b, s in rows}
-            names = sorted(unique)  # the sets of block i come first
-            left = sum(x == i for x, _, _ in names)
-            label = join([np.frombuffer(unique[k], dtype=np.uint64) for k in names], percent, None if i == j else left)
-            out = [(*names[k][1:], *names[r][1:]) for k, r in enumerate(label.tolist()) if k != r]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a1", "a2", "b1", "b2"])
-
-    # a pair of numbers for a text becomes one; distinct texts with equal first halves are kept apart
-    edges = stored(paired.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j").mapInArrow(pairs, "a1 long, a2 long, b1 long, b2 long"))
-    one = lambda a, b: F.xxhash64(a, b)
-    found = components(edges.select(one("a1", "a2").alias("a"), one("b1", "b2").alias("b")))
-    names = edges.select("a1", "a2").union(edges.select("b1", "b2")).distinct()
-    return names.join(found, one("a1", "a2") == F.col("v")).select("a1", "a2", "root").toDF("key", "key2", "label")
+
+def _runs(batches, group_columns: int):
+    """(leading columns, an iterator over the other columns' tuples) for each run of equal leading columns of sorted input."""
+    rows = (r for batch in batches for k in range(0, batch.num_rows, 100) for r in zip(*(c.to_pylist() for c in batch.slice(k, 100).columns)))
+    for key, some in itertools.groupby(rows, key=lambda r: r[:group_columns]):
+        yield key, (r[group_columns:] for r in some)
