@@ -23,6 +23,12 @@ def _placed(lines: DataFrame, column: str) -> DataFrame:
     return lines.select(F.col(column).alias("line"), F.monotonically_increasing_id().alias("table_idx"))
 
 
+def _once(c):
+    """A column that is computed once for each row: the optimiser would copy a costly expression to each place where it is used, down to single
+    cells, but copies nothing through a generator."""
+    return F.explode(F.array(c))
+
+
 def kept_columns(columns):
     """Arrays of clean values without those of fewer than two distinct values."""
     return F.filter(columns, lambda c: F.size(F.array_distinct(F.filter(c, lambda v: v != ""))) >= 2)
@@ -31,11 +37,12 @@ def kept_columns(columns):
 def load_jsonl(spark: SparkSession, path: str, table_types=("RELATION",), strip_headers: bool = True) -> DataFrame:
     """tables from JSON lines; blank and malformed lines, other types and empty tables are skipped. meta is the line itself."""
     rows = _placed(spark.read.text(path), "value").where(F.trim("line") != "")
-    rows = rows.withColumn("r", F.from_json("line", _RECORD, {"mode": "PERMISSIVE"})).where(F.col("r.tableType").isin(*table_types))
+    rows = rows.select("table_idx", "line", _once(F.from_json("line", _RECORD, {"mode": "PERMISSIVE"})).alias("r")).where(F.col("r.tableType").isin(*table_types))
     header = F.when(F.lit(strip_headers) & F.col("r.hasHeader") & (F.col("r.headerRowIndex") >= 0), F.col("r.headerRowIndex")).otherwise(-1)
-    cut = F.transform(F.coalesce("r.relation", F.array()), lambda c: F.filter(c, lambda v, i: i != header))
+    rows = rows.select("table_idx", "line", header.alias("header"), F.col("r.relation").alias("relation"))
+    cut = F.transform(F.coalesce("relation", F.array()), lambda c: F.filter(c, lambda v, i: i != F.col("header")))
     clean = kept_columns(F.transform(cut, lambda c: F.transform(c, clean_value)))
-    return rows.select("table_idx", F.col("line").alias("meta"), clean.alias("columns")).where(F.size("columns") > 0)
+    return rows.select("table_idx", F.col("line").alias("meta"), _once(clean).alias("columns")).where(F.size("columns") > 0)
 
 
 def load_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +50,7 @@ def load_raw_jsonl(spark: SparkSession, path: str) -> DataFrame:
     page's id, null where there is none. A line that is no JSON is an error, as nothing tells what it held."""
     rows = _placed(spark.read.text(path), "value").where(F.trim("line") != "")
     r = F.from_json("line", "relation array<array<string>>, pgId string", {"mode": "FAILFAST"})
-    return rows.select("table_idx", r.alias("r")).select("table_idx", F.col("r.pgId").alias("domain"), F.coalesce("r.relation", F.array().cast("array<array<string>>")).alias("columns"))
+    return rows.select("table_idx", _once(r).alias("r")).select("table_idx", F.col("r.pgId").alias("domain"), F.coalesce("r.relation", F.array().cast("array<array<string>>")).alias("columns"))
 
 
 def load_csv_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -93,10 +100,11 @@ def wiki_column_kept(vals, top: float = 0.70, nulls: float = 0.5, digits: float
 def load_wikipedia(spark: SparkSession, path: str, most: int | None = 5000) -> DataFrame:
     """tables from JSON lines of wiki tables (row-major cells with a text); `most` tables at most, None for all."""
     schema = "tableData array<array<struct<text:string>>>, tableHeaders string"
-    rows = _placed(spark.read.text(path), "value").withColumn("r", F.from_json("line", schema)).where(F.size("r.tableData") > 0)
+    rows = _placed(spark.read.text(path), "value").select("table_idx", "line", _once(F.from_json("line", schema)).alias("r")).where(F.size("r.tableData") > 0)
     width = F.array_min(F.transform("r.tableData", lambda x: F.size(x)))  # columns end with the shortest row
     cols = F.when(width > 0, F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.transform("r.tableData", lambda x: wiki_clean(F.coalesce(F.get(x, i)["text"], F.lit(""))))))
-    out = rows.select("table_idx", F.col("line").alias("meta"), F.filter(F.coalesce(cols, F.array()), lambda c: wiki_column_kept(c)).alias("columns")).where(F.size("columns") > 0)
+    out = rows.select("table_idx", "line", _once(F.coalesce(cols, F.array().cast("array<array<string>>"))).alias("raw"))
+    out = out.select("table_idx", F.col("line").alias("meta"), _once(F.filter("raw", lambda c: wiki_column_kept(c))).alias("columns")).where(F.size("columns") > 0)
     return out if most is None else out.orderBy("table_idx").limit(most)
 
 
