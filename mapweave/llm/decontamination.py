@@ -6,7 +6,8 @@ one Aho-Corasick automaton over word numbers, and each document is scanned once.
 text.
 
 The items of a block are sent to the executors; a block holds at most `block_words` words (or one item), so its size is bounded
-however large the benchmark is. More blocks mean more scans of the documents, and their hits are united by document row.
+however large the benchmark is, and the driver holds one block at a time. More blocks mean more scans of the documents, and their hits are
+united by document row. A Python worker keeps the automaton of a block from task to task, by the digest of its items.
 
 Results: null texts and texts without words have no words, no hits and aren't contaminated. Items without words are ignored; items
 with equal windows are all found; repeated item ids count once; null item ids are ignored, for they cannot be reported. Repeated
@@ -14,7 +15,10 @@ document rows are independent. Extra columns pass through, and the new columns r
 nothing is hit.
 """
 
+import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -81,19 +85,38 @@ def spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks, read one after another by the driver."""
-    out: list[list[tuple[str, bytes]]] = [[]]
+def blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items in blocks, one at a time, read by the driver a partition at a time; one empty block if there are none."""
+    out: list[tuple[str, bytes]] = []
     n = 0
     for item, t in items.select(F.col(item_id).cast("string"), F.col(text).cast("string").cast("binary")).dropna().distinct().toLocalIterator():
         k = len(words(bytes(t)))
-        if out[-1] and n + k > block_words:
-            out.append([])
-            n = 0
+        if out and n + k > block_words:
+            yield out
+            out, n = [], 0
         if k:
-            out[-1].append((item, bytes(t)))
+            out.append((item, bytes(t)))
             n += k
-    return out
+    yield out
+
+
+#: The automaton that this worker made last, by the digest of its items.
+_made: dict[str, Items] = {}
+
+
+def _automaton(key: str, sent) -> Items:
+    if key not in _made:
+        _made.clear()
+        _made[key] = Items(*sent.value)
+    return _made[key]
+
+
+def _digest(block: list[tuple[str, bytes]], window: int) -> str:
+    out = hashlib.blake2b(str(window).encode(), digest_size=20)
+    for item, text in block:
+        for part in (item.encode(), text):
+            out.update(len(part).to_bytes(8, "little") + part)
+    return out.hexdigest()
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 200_000) -> DataFrame:
@@ -103,19 +126,17 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
     raw = free_name(docs, "text_bytes")
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     cuts = blocks(items, item_id, item_text, block_words)
+    head, following = next(cuts), next(cuts, None)
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
     sc = docs.sparkSession.sparkContext
-    made: dict[int, Items] = {}
 
     def scanned(frame: DataFrame, names: list[str], kinds, block: list[tuple[str, bytes]], only_hits: bool) -> DataFrame:
-        sent, key = sc.broadcast((block, window)), id(block)
+        sent, key = sc.broadcast((block, window)), _digest(block, window)
 
         def work(part: pa.RecordBatch) -> pa.RecordBatch:
-            if key not in made:
-                made.clear()
-                made[key] = Items(*sent.value)
+            found = _automaton(key, sent)
             texts = [t or b"" for t in part.column(0).to_pylist()]
-            rows = [made[key].scan(t) for t in texts]
+            rows = [found.scan(t) for t in texts]
             out = [pa.array([n for n, _, _ in rows], pa.int64()), pa.array([sum(b - a for a, b in r) for _, r, _ in rows], pa.int64()), pa.array([sorted(i) for _, _, i in rows], pa.list_(pa.string()))]
             out.append(pa.array([[{"start": a, "end": b} for a, b in (r if only_hits else spans(t, r))] for t, (_, r, _) in zip(texts, rows)], pa.list_(span)))
             batch = pa.RecordBatch.from_arrays([*part.columns[1:], *out], [*names, *COLUMNS])
@@ -125,14 +146,14 @@ def find_contamination(docs: DataFrame, items: DataFrame, text: str = "text", it
         return map_slices(frame, 0, ", ".join(x for x in (ddl, *(f"{c} {t}" for c, t in COLUMNS.items())) if x), work)
 
     frame = docs.select(F.col(text).cast("string").cast("binary").alias(raw), *[F.col(f"`{c}`") for c in kept])
-    if len(cuts) == 1:
-        return scanned(frame, kept, schema, cuts[0], False)
+    if following is None:
+        return scanned(frame, kept, schema, head, False)
     # more blocks: number the rows, scan for each block, unite word runs by row
     row = free_name(docs, "row_no")
     base = stored(docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.expr("uuid()").alias(row)))
     numbered = base.select(F.col(text).cast("string").cast("binary").alias(raw), F.col(row))
     hits = None
-    for block in cuts:
+    for block in itertools.chain([head, following], cuts):
         one = scanned(numbered, [row], numbered.drop(raw).schema, block, True)
         hits = one if hits is None else hits.unionByName(one)
     united = hits.groupBy(row).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("runs"))
