@@ -8,7 +8,8 @@ penalty for each further language (a BIC term times `penalty`).
 Learning: at most `train_rows` labelled rows for each language, chosen by a hash of the row's id; all text of those rows is counted, on
 the executors. Everything else sees whole texts.
 
-Results: texts that are null or have no letter get the language `und`, score 0 and no shares; so do all if nothing is labelled. Ties
+Results: texts that are null or have no letter get the language `und`, score 0 and no shares; so do all texts if nothing is labelled, for then there
+is no language to predict. A text of up to `segment` letters is one run and has one language. Ties
 go to the language first in order. Equal texts get equal results; repeated rows are independent. Extra columns pass through, and the
 new columns replace columns of the same name.
 """
@@ -102,7 +103,7 @@ def em(p: np.ndarray, owner: np.ndarray, n: np.ndarray, sets: np.ndarray, rounds
     return theta, np.bincount(owner, np.log((p * theta[owner]).sum(axis=1) + 1e-300), len(n))
 
 
-def mixtures(ll: np.ndarray, runs: np.ndarray, segment: int, penalty: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(ll: np.ndarray, runs: np.ndarray, segment: int, penalty: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Shares [text, language] and confidence of texts with at least one run each."""
     owner = np.repeat(np.arange(len(runs)), runs)
     top = ll.max(axis=1)
@@ -115,7 +116,7 @@ def mixtures(ll: np.ndarray, runs: np.ndarray, segment: int, penalty: float, mos
     sure = 1 / np.exp(single - now[:, None]).sum(axis=1)
     cost = penalty * np.log(np.maximum(runs * segment, 2))
     open_ = np.flatnonzero(best - now > cost)
-    for _ in range(min(most, ll.shape[1]) - 1):
+    for _ in range(min(most or ll.shape[1], ll.shape[1]) - 1):
         if not len(open_):
             break
         pick = np.isin(owner, open_)
@@ -136,9 +137,10 @@ def mixtures(ll: np.ndarray, runs: np.ndarray, segment: int, penalty: float, mos
     return theta, sure
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", usable=None, train_rows: int = 3000, segment: int = 48, penalty: float = 2.0, most: int = 4) -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", row_id: str = "doc_id", usable=None, train_rows: int = 3000, segment: int = 48, penalty: float = 2.0, most: int | None = None) -> DataFrame:
     """All columns of `docs` and lang_pred (language of the largest share), score (that share times the confidence in a single
-    language), shares (all languages of the set, largest first). usable: rows with which the languages may be learned."""
+    language), shares (all languages of the set, largest first). usable: rows with which the languages may be learned. most: languages of a
+    document at most; by default only the penalty bounds them."""
     langs, table = learn(docs, text, lang, row_id, F.lit(True) if usable is None else F.coalesce(usable, F.lit(False)), train_rows)
     kept = [c for c in docs.columns if c.lower() not in COLUMNS]
     raw = free_name(docs, "text_in")
