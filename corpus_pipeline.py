@@ -19,10 +19,21 @@ def _as_documents(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def _shielded(docs: DataFrame, taken) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with other names for the columns that an operator would replace, and those names by the old ones."""
+    away = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(away), away
+
+
+def _restored(df: DataFrame, away: dict[str, str], docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language can be told."""
-    found = language_id.identify(docs, usable=residue("doc_id", 3) != 1)
-    return _as_documents(found.where(language_id.accepted(F.col("lang_pred"), F.col("score"))), docs)
+    own, away = _shielded(docs, language_id.COLUMNS)
+    found = language_id.identify(own, usable=residue("doc_id", 3) != 1)
+    return _restored(found.where(language_id.accepted(F.col("lang_pred"), F.col("score"))), away, docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,24 +42,27 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = stored(docs.withColumn(number, F.monotonically_increasing_id()))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(number).alias("number"))
     found = stored(jaccard_join.near_duplicates(rows.select(place.alias("place"), "text"), row_id="place"))
-    gone = found.where("component_id.number <> place.number").select(F.col("place.number").alias("gone"))
+    name = free_name(rows, "gone")
+    gone = found.where("component_id.number <> place.number").select(F.col("place.number").alias(name))
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return _as_documents(rows.join(gone, F.col(number) == F.col("gone"), "left_anti"), docs)
+    return _as_documents(rows.join(gone, F.col(number) == F.col(name), "left_anti"), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that aren't contaminated by the benchmark."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _as_documents(found.where(~decontamination.contaminated(F.col("n_words"), F.col("n_hit"))), docs)
+    own, away = _shielded(docs, decontamination.COLUMNS)
+    found = decontamination.find_contamination(own, table(spark, sf_dir, "benchmark"))
+    return _restored(found.where(~decontamination.contaminated(F.col("n_words"), F.col("n_hit"))), away, docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the texts."""
-    found = secret_scan.scan(docs)
+    own, away = _shielded(docs, secret_scan.COLUMNS)
+    found = secret_scan.scan(own)
     changed = F.size("findings") > 0
     text = F.when(changed, F.col("redacted")).otherwise(F.col("text"))
     n_chars = F.when(changed, F.length("redacted").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+    return found.select(*[text.alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(f"`{away.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
