@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from mapweave.llm.common import stored
 
-#: Rows in a block of vectors and in a block of queries; coordinates in the leading partial sums.
-BLOCK, QUERY_BLOCK, LEADING = 4096, 1024, 24
+#: Rows in a block of vectors (and in one of a large table at most) and in a block of queries; coordinates in the leading partial sums.
+BLOCK, MOST, QUERY_BLOCK, LEADING = 4096, 65_536, 1024, 24
 _EXACT = 2.0**53
 
 
@@ -34,8 +34,38 @@ def quantised(vector, scale: float):
     return F.when(vector.isNotNull() & (F.size(vector) > 0) & ~odd, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _matrix(blob: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(blob, dtype=np.int64).reshape(-1, dim)
+def _blob(m: np.ndarray) -> bytes:
+    """A matrix in the shortest integers that hold it."""
+    most = int(max(-m.min(initial=0), m.max(initial=0)))
+    return m.astype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64).tobytes()
+
+
+def _matrix(blob: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(blob, dtype=f"i{len(blob) // (n * dim)}").reshape(n, dim).astype(np.int64)
+
+
+def _gathered(batches, dim: int, size: int):
+    """Ids and vectors of each `size` rows, across batches."""
+    held, n = [], 0
+    for batch in batches:
+        i = 0
+        while i < batch.num_rows:
+            part = batch.slice(i, size - n)
+            i += part.num_rows
+            lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+            flat = part.column(1).flatten().to_numpy()
+            if (lengths == dim).all():
+                m = flat.reshape(-1, dim)
+            else:
+                m = np.zeros((len(lengths), dim), dtype=np.int64)
+                m[np.arange(dim) < lengths[:, None]] = flat
+            held.append((part.column(0).to_numpy(), m))
+            n += part.num_rows
+            if n == size:
+                yield tuple(map(np.concatenate, zip(*held)))
+                held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
 
 def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
@@ -45,19 +75,10 @@ def _packed(rows: DataFrame, dim: int, size: int) -> DataFrame:
         from pyspark import TaskContext
 
         b = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for i in range(0, batch.num_rows, size):
-                part = batch.slice(i, size)
-                lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
-                flat = part.column(1).flatten().to_numpy()
-                if (lengths == dim).all():
-                    m = flat.reshape(-1, dim)
-                else:
-                    m = np.zeros((len(lengths), dim), dtype=np.int64)
-                    m[np.arange(dim) < lengths[:, None]] = flat
-                top = float((m.astype(float) ** 2).sum(axis=1).max())
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([top]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], ["b", "top", "ids", "m"])
-                b += 1
+        for ids, m in _gathered(batches, dim, size):
+            top = float((m.astype(float) ** 2).sum(axis=1).max())
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([top]), pa.array([ids.tobytes()], pa.binary()), pa.array([_blob(m)], pa.binary())], ["b", "top", "ids", "m"])
+            b += 1
 
     return rows.mapInArrow(run, "b long, top double, ids binary, m binary")
 
@@ -123,18 +144,28 @@ def top_k(vectors: DataFrame, is_query, row_id: str = "vec_id", vector: str = "e
     def gram(batches):
         total = np.zeros((dim, dim))
         for batch in batches:
-            for v in batch.column(0).to_pylist():
-                m = np.frombuffer(v, dtype=np.int64).reshape(-1, dim).astype(float)
+            for ids, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                m = _matrix(v, len(ids) // 8, dim).astype(float)
                 total += m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
 
+    def added(batches):
+        total = np.zeros(dim * dim)
+        for batch in batches:
+            for g in batch.column(0).to_pylist():
+                total += np.frombuffer(g)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["g"])
+
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    parts = max(1, -(-shape["n"] // (2 * BLOCK)))
-    blocks = stored(_packed(rows.select("i", "v", norm.alias("s")).repartitionByRange(parts, F.desc("s")).sortWithinPartitions(F.desc("s"), "i").select("i", "v"), dim, BLOCK))
-    total = sum((np.frombuffer(r["g"]) for r in blocks.select("m").mapInArrow(gram, "g binary").toLocalIterator()), np.zeros(dim * dim)).reshape(dim, dim)
+    size = max(BLOCK, min(MOST, shape["n"] // 64))  # the queries go to each block: fewer blocks, less to send
+    parts = max(1, -(-shape["n"] // (2 * size)))
+    blocks = stored(_packed(rows.select("i", "v", norm.alias("s")).repartitionByRange(parts, F.desc("s")).sortWithinPartitions(F.desc("s"), "i").select("i", "v"), dim, size))
+    sums = blocks.select("ids", "m").mapInArrow(gram, "g binary").repartition(max(1, int(parts**0.5))).mapInArrow(added, "g binary")  # a matrix a task, twice
+    total = sum((np.frombuffer(r["g"]) for r in sums.collect()), np.zeros(dim * dim)).reshape(dim, dim)
     rotation = np.ascontiguousarray(np.linalg.eigh(total)[1][:, ::-1])  # the right singular vectors, largest first
     keys = blocks.select("b", "top").toPandas()  # two numbers for each BLOCK vectors
-    first = blocks.orderBy(F.desc("top"), "b").select("ids", "m").first()
+    longest = keys.sort_values(["top", "b"], ascending=[False, True])["b"].iloc[0]
+    first = blocks.where(F.col("b") == int(longest)).select("ids", "m").first()  # by number: sorting would send a block of each task to the driver
     sent = spark.sparkContext.broadcast((bytes(first["ids"]), bytes(first["m"]), rotation, keys["b"].to_numpy(), np.sqrt(keys["top"].to_numpy())))
     queries = rows.where("q").select("i", "v").distinct().repartition(max(1, -(-shape["n"] // (50 * QUERY_BLOCK))))
     asked_schema = "b long, q_ids binary, q_m binary, floors binary"
@@ -142,24 +173,25 @@ def top_k(vectors: DataFrame, is_query, row_id: str = "vec_id", vector: str = "e
     def asked(batches):
         """For each block those queries that may have a partner there, with the scores that count."""
         ids0, m0, turn, b_of, top_of = sent.value
-        ids, m = np.frombuffer(ids0, dtype=np.int64), _matrix(m0, dim)
+        ids = np.frombuffer(ids0, dtype=np.int64)
+        m = _matrix(m0, len(ids), dim)
         for batch in batches:
             for q_ids, q_m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                qids, q = np.frombuffer(q_ids, dtype=np.int64), _matrix(q_m, dim)
+                qids, q = np.frombuffer(q_ids, dtype=np.int64), _matrix(q_m, len(q_ids) // 8, dim)
                 found = _search(qids, q, ids, m, turn, k, np.full(len(q), -np.inf))
                 floors = np.array([float(s[-1]) if len(s) == k else -np.inf for _, s in found])
                 length = np.sqrt((q.astype(float) ** 2).sum(axis=1))
                 for b, top in zip(b_of.tolist(), top_of.tolist()):
                     live = length * top * (1 + 1e-9) + 1e-9 >= floors
                     if live.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x[live].tobytes()], pa.binary()) for x in (qids, q, floors))], ["b", "q_ids", "q_m", "floors"])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *(pa.array([x], pa.binary()) for x in (qids[live].tobytes(), _blob(q[live]), floors[live].tobytes()))], ["b", "q_ids", "q_m", "floors"])
 
     def searched(batches):
         turn = sent.value[2]
         for batch in batches:
             for q_ids, q_m, fl, b_ids, b_m in zip(*(c.to_pylist() for c in batch.columns)):
-                qids, q = np.frombuffer(q_ids, dtype=np.int64), _matrix(q_m, dim)
-                found = _search(qids, q, np.frombuffer(b_ids, dtype=np.int64), _matrix(b_m, dim), turn, k, np.frombuffer(fl))
+                qids, q = np.frombuffer(q_ids, dtype=np.int64), _matrix(q_m, len(q_ids) // 8, dim)
+                found = _search(qids, q, np.frombuffer(b_ids, dtype=np.int64), _matrix(b_m, len(b_ids) // 8, dim), turn, k, np.frombuffer(fl))
                 n = [len(s) for _, s in found]
                 row = [int.from_bytes(hashlib.blake2b(x.tobytes(), digest_size=8).digest(), 'little', signed=True) for x in q]  # tells queries of one id with different vectors apart
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(np.repeat(np.array(row, dtype=np.int64), n)), pa.array(np.concatenate([i for i, _ in found])), pa.array(np.concatenate([s for _, s in found]))], ["query_id", "q", "vec_id", "score"])

@@ -59,6 +59,25 @@ def test_top_k_blocks_prune_nothing_that_counts(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0, k=7).collect()} == brute_top_k(f32, 7, lambda i: i % 10 == 0)
 
 
+def test_top_k_sends_one_block_to_the_driver(spark, monkeypatch):
+    """A block of each task would pass the limit on results here; 30,000 vectors make 8 blocks of 0.5 MB."""
+    rng = np.random.default_rng(3)
+    m = rng.integers(-(2**20), 2**20, size=(30_000, 32))
+    df = spark.createDataFrame([(i, [float(c) for c in x]) for i, x in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(8)
+    rows = topk.stored(df)
+    asked = []
+    whole = type(df).first
+    monkeypatch.setattr(type(df), "first", lambda self: asked.append(self) or whole(self))
+    found = topk.top_k(rows, F.col("vec_id") % 5000 == 0, k=2, scale=1.0).collect()
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in asked]
+    assert plans and not any("Sort" in p for p in plans)
+    for q in range(0, 30_000, 5000):
+        scores = m @ m[q]
+        scores[q] = -(2**62)
+        best = sorted(range(len(m)), key=lambda i: (-scores[i], i))[:2]
+        assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] == [(i, scores[i]) for i in best]
+
+
 def test_top_k_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, F.lit(True)).count() == 0
