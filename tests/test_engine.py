@@ -249,3 +249,38 @@ def test_stream_equals_batch(spark, cells, tmp_path):
     q.stop()
     want = {tuple(r) for r in coherence.value_counts(coherence.column_values(cells)).collect()}
     assert {tuple(r) for r in spark.table("value_counts").collect()} == want
+
+
+def test_stored_frames_are_small(spark):
+    """Serialised rows of a checkpoint took over 40 bytes each."""
+    from mapweave.operators import graph
+
+    rows = spark.range(0, 200_000, 1, 2).selectExpr("id div 1000 AS table_idx", "CAST(id % 7 AS INT) AS col_idx", "id % 1000 AS row_idx", "concat('value number ', id % 25) AS value")
+    out = graph.checkpointed(rows)
+    sizes = [spark._jvm.java.io.File(f.replace("file:", "")).length() for f in out.inputFiles()]
+    assert 0 < sum(sizes) < 200_000 * 10
+    assert out.schema.simpleString() == rows.schema.simpleString() and out.exceptAll(rows).count() == 0 == rows.exceptAll(out).count()
+
+
+def test_witnesses_in_both_directions_with_one_shuffle(spark):
+    from mapweave.operators import candidates
+
+    cells = spark.createDataFrame([(0, c, r, v) for r, (a, b, d) in enumerate([("x", "1", "p"), ("x", "2", "p"), ("y", "2", ""), ("x", "1", None)]) for c, v in enumerate((a, b, d))], "table_idx long, col_idx int, row_idx long, value string")
+    out = candidates.witnesses(cells)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = {(r.left_col, r.right_col, r.x): (r.y, r.cnt, r.rows_x, r.first_row, r.low_y, r.high_y) for r in out.collect()}
+    assert got == {
+        (0, 1, "x"): ("1", 2, 3, 0, "1", "2"), (0, 1, "y"): ("2", 1, 1, 2, "2", "2"), (1, 0, "1"): ("x", 2, 2, 0, "x", "x"), (1, 0, "2"): ("x", 1, 2, 1, "x", "y"),
+        (0, 2, "x"): ("p", 2, 2, 0, "p", "p"), (2, 0, "p"): ("x", 2, 2, 0, "x", "x"), (1, 2, "1"): ("p", 1, 1, 0, "p", "p"), (1, 2, "2"): ("p", 1, 1, 1, "p", "p"), (2, 1, "p"): ("1", 1, 2, 0, "1", "2"),
+    }
+
+
+def test_coherence_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    from mapweave.operators import coherence
+
+    cells = spark.createDataFrame([(t, 0, r, f"v{(t * r) % 5}") for t in range(1, 9) for r in range(4)], "table_idx long, col_idx int, row_idx long, value string")
+    few = coherence.coherence(cells)
+    assert "BroadcastHashJoin [u#" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(coherence, "BROADCAST_PAIRS", 0)
+    rounded = lambda df: {(r.table_idx, r.col_idx, round(r.score, 12)) for r in df.collect()}
+    assert rounded(few) == rounded(coherence.coherence(cells)) and len(rounded(few)) == 8
