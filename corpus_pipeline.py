@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import decontamination, jaccard_join, language_id, secret_scan, sentencepiece_codec
-from mapweave.llm.common import free_name, residue, stored, table
+from mapweave.llm.common import free_name, residue, small_batches, stored, table
 from mapweave.llm.queries import piece_model, token_digests
 
 #: Ids that are sent to all executors at most (8 bytes each, some 30 MB with their index); beyond, the join is left to a shuffle.
@@ -67,7 +67,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The digests of each text's pieces and of what they decode to."""
-    return token_digests(sentencepiece_codec.encode_decode(docs.select("doc_id", "text"), piece_model()))
+    with small_batches(spark):
+        return stored(token_digests(sentencepiece_codec.encode_decode(docs.select("doc_id", "text"), piece_model())))
 
 
 STAGES = [

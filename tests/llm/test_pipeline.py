@@ -68,3 +68,14 @@ def test_stages_take_odd_rows(spark, tmp_path):
         if table is docs:
             assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 3, *range(10, 40)]
             assert "[SECRET]" in at.where(F.col("doc_id").isNull()).first().text
+
+
+def test_encoding_takes_small_batches(spark, monkeypatch):
+    """Batches of 10,000 texts stood in memory on both sides of the pipe, beside what earlier stages hold."""
+    seen = []
+    whole = corpus_pipeline.sentencepiece_codec.encode_decode
+    monkeypatch.setattr(corpus_pipeline.sentencepiece_codec, "encode_decode", lambda *a: seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) or whole(*a))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = corpus_pipeline.encode(spark, spark.createDataFrame([(1, "Some words"), (2, "")], "doc_id long, text string"), "")
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # computed inside
+    assert seen == ["500"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and out.count() == 2
