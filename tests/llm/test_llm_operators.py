@@ -337,6 +337,22 @@ def test_bradley_terry_by_gradient_descent():
     assert np.allclose(w, v, atol=1e-5)
 
 
+def test_quality_learns_from_all_rows_in_any_blocks(spark):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(3000, quality.WIDTH)).astype(np.float32), rng.integers(2, size=3000)
+    x[y == 1, :3] += 0.7
+    rows = quality.stored(spark.createDataFrame([(i, int(k), v.tobytes()) for i, (k, v) in enumerate(zip(y, x))], "d_id long, l_y int, x binary"))
+    one, many = quality.learn_all(rows, 0.7, 20_000), quality.learn_all(rows, 0.7, 300)
+    for mean, scale, w, slope, offset in (one, many):
+        assert np.allclose(mean, x.mean(axis=0), atol=1e-6) and np.allclose(scale, x.std(axis=0), atol=1e-5)
+        raw = np.clip((x - mean) / scale, -8, 8) @ w
+        at = np.log(0.7 / 0.3)
+        assert abs((at - offset) / slope - np.quantile(raw, 1 - y.mean())) < 0.01 and (w[:3] > 0.3).all()
+    assert np.abs(one[2] - many[2]).max() < 0.25
+    d = quality._paired(np.arange(5.0)[:, None], 100 * np.arange(1, 13.0)[:, None], 2, 1)
+    assert len(d) == 24 and {float(v) for v in (-d).ravel() // 100 + ((-d).ravel() % 100 > 0)} == set(range(1, 13)) and {float(v) % 100 for v in d.ravel()} == set(range(5))
+
+
 def test_quality_of_odd_texts(spark):
     docs, labels = odd_docs(spark), spark.createDataFrame([(1, 1), (4, 0), (4, None), (99, 1), (None, 1)], "doc_id long, quality int")
     out = quality.rank(docs, labels).collect()
