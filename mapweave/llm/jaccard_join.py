@@ -15,8 +15,8 @@ sets of the group from which most links were seen visit all blocks, which ties t
 components then, one at least lies outside the group's largest; such sets visit just the other blocks that hold a shingle of their prefix. So
 no pair of blocks is joined for its own sake, a block is one task's work, visitors pass through it one at a time, and no link is lost.
 
-Frequencies cover all documents; they only choose the order, so the `HINTS` most frequent are kept. Hashes of 64 bits stand for
-words and shingles and of 128 bits for texts, of 64 bits for texts of divided groups. A filter of 16 bits for each text of a candidate group, 32 MB at most,
+Frequencies cover all documents; they only choose the order, so all common shingles are kept as levels in a table of one byte a slot, which grows
+with the corpus up to 64 MB (beyond, slots are shared and rare shingles may pass for common ones). Hashes of 64 bits stand for words and shingles and of 128 bits for texts, of 64 bits for texts of divided groups. A filter of 16 bits for each text of a candidate group, 32 MB at most,
 keeps other texts' sets from being shuffled; when it is full, more sets are shuffled than need be.
 
 Results: component_id is the smallest id reachable by links. Texts that are null, empty or white space have no shingles, link with nothing and
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import map_slices, relax, slices, small_batches, stored
 from mapweave.llm.components import components, forest
 
-#: Common shingles that are ordered by frequency, and the number of texts beyond which a shingle is common.
-HINTS, COMMON = 600_000, 2
+#: The number of texts beyond which a shingle is common, and levels of frequency for each doubling.
+COMMON, LEVELS = 2, 12
+#: The table of levels has a slot for SLOT_SHINGLES shingles of all documents, 2 ** SLOT_BITS slots at most.
+SLOT_SHINGLES, SLOT_BITS = 16, 26
 #: Texts in candidate groups whose groups' names are sent to all executors (16 bytes each); beyond, the join is left to a shuffle.
 BROADCAST_TEXTS = 500_000
 #: Shingles of a task's buffer, for a bucket, and of a candidate group or block that one task joins.
@@ -168,9 +170,15 @@ def _buffered(batches, width, percent, slack, work, seen_most=500_000):
     relax()
 
 
-def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int) -> np.ndarray:
-    """The common shingles' leading bits, sorted by frequency, ascending: the later, the further back in the order. They are counted over
-    the leading shingles (half as many again as a prefix) of all documents."""
+def _slot_bits(total: int, bits: int) -> int:
+    """The table of levels has 2 ** this slots, for `total` shingles in 2 ** bits buckets."""
+    return min(SLOT_BITS, max(16, bits, int(np.ceil(np.log2(max(1, total / SLOT_SHINGLES))))))
+
+
+def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int, slot_bits: int) -> np.ndarray:
+    """Levels of frequency by a shingle's leading bits, 0 for rare ones: the higher, the further back in the order. They are counted over
+    the leading shingles (half as many again as a prefix) of all documents; a slot has the level of its most frequent shingle."""
+    own_bits = slot_bits - bits
 
     def counted(batches):
         def work(sets, _):
@@ -198,30 +206,30 @@ def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int) ->
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         total = np.add.reduceat(weights, first)
         keep = total > COMMON
-        found = tokens[first][keep].astype(np.uint64)
+        found, level = tokens[first][keep] >> np.uint32(32 - own_bits), np.minimum(255, 1 + LEVELS * np.log2(total[keep] / COMMON))
+        table = np.zeros(1 << own_bits, dtype=np.uint8)
+        np.maximum.at(table, found, level.astype(np.uint8))
         del tokens, weights, order
         relax()
-        lead = (np.uint64(key[0].as_py()) << np.uint64(32)) | found
-        return pa.table({"lead": pa.array(lead.astype(np.int64)), "n": pa.array(total[keep])})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "levels": pa.array([table.tobytes()], pa.binary())})
 
-    found = _texts(docs, text).mapInArrow(counted, "bucket int, tokens binary, extra binary").groupBy("bucket").applyInArrow(summed, "lead long, n long")
-    rows = found.orderBy(F.desc("n"), "lead").limit(HINTS).select("lead").toArrow()  # 8 bytes each, as columns
-    return rows.column("lead").to_numpy().astype(np.uint64)[::-1]
+    found = _texts(docs, text).mapInArrow(counted, "bucket int, tokens binary, extra binary").groupBy("bucket").applyInArrow(summed, "bucket int, levels binary")
+    table = np.zeros((1 << bits, 1 << own_bits), dtype=np.uint8)
+    rows = found.toArrow()  # a byte for each slot
+    for b, levels in zip(rows.column("bucket").to_pylist(), rows.column("levels")):
+        table[b] = np.frombuffer(levels.as_buffer(), dtype=np.uint8)
+    return table.reshape(-1)
 
 
-def _back(s: np.ndarray, sent, bits: int) -> np.ndarray:
+def _back(s: np.ndarray, sent) -> np.ndarray:
     """How far back the shingles come in the global order: 0 for the rare ones."""
-    lead, rank = sent.value
-    if not len(lead):
-        return np.zeros(len(s), dtype=np.int64)
-    short = (s >> np.uint64(64 - bits) << np.uint64(32)) | ((s << np.uint64(bits)) >> np.uint64(32))
-    at = np.minimum(np.searchsorted(lead, short), len(lead) - 1)
-    return np.where(lead[at] == short, rank[at] + 1, 0)
+    levels = sent.value
+    return levels[s >> np.uint64(65 - len(levels).bit_length())]
 
 
-def _head(s: np.ndarray, percent: int, sent, bits: int) -> np.ndarray:
+def _head(s: np.ndarray, percent: int, sent) -> np.ndarray:
     """The prefix of a sorted set in the global order."""
-    p, back = prefix(len(s), percent), _back(s, sent, bits)
+    p, back = prefix(len(s), percent), _back(s, sent)
     rare = s[back == 0]
     if len(rare) >= p:
         return rare[:p]
@@ -238,7 +246,7 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
         turn = itertools.count(TaskContext.get().partitionId() * 7)
 
         def work(sets, keys):
-            heads = [_head(s, percent, sent, bits) for s in sets]
+            heads = [_head(s, percent, sent) for s in sets]
             n = [len(x) for x in heads]
             tokens = np.concatenate(heads)
             key, size = np.repeat(np.array(keys, dtype=np.int64), n), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), n)
@@ -410,7 +418,7 @@ class Block:
     def __init__(self, sets: list[np.ndarray], back_of, percent: int, alone: bool):
         self.percent, self.full = percent, np.array([len(s) for s in sets], dtype=np.int64)
         self.tokens, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.lexsort((self.tokens, -back_of(self.tokens)))
+        order = np.lexsort((self.tokens, -back_of(self.tokens).astype(np.int64)))
         if alone:
             order = order[count[order] > 1]
         self.number = np.full(len(self.tokens), -1, dtype=np.int64)
@@ -543,9 +551,7 @@ def _near_duplicates(docs: DataFrame, text: str, row_id: str, width: int, percen
     keys = stored(map_slices(_texts(docs, text, F.col(f"`{row_id}`")), 0, f"row {kind}, key long, key2 long, n long", keyed))
     total = keys.agg(F.sum("n")).first()[0] or 0
     bits = max(3, int(np.ceil(np.log2(max(1.0, 0.4 * total / BUCKET)))))
-    common = _common(docs, text, width, percent, bits)
-    place = np.argsort(common, kind="stable")
-    sent = sc.broadcast((common[place], place))  # HINTS entries at most
+    sent = sc.broadcast(_common(docs, text, width, percent, bits, _slot_bits(total, bits)))  # 2 ** SLOT_BITS bytes at most
     groups = stored(components(stored(_candidates(docs, text, width, percent, bits, sent))))
     sized = groups.join(keys.select("key", "n").groupBy("key").agg(F.max("n").alias("n")), F.col("v") == F.col("key")).groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("count"))
     blocks = F.greatest(F.when(F.col("total") > group_shingles, F.ceil(2 * F.col("total") / group_shingles)).otherwise(1), F.ceil(F.col("count") / block_sets))
@@ -561,7 +567,7 @@ def _near_duplicates(docs: DataFrame, text: str, row_id: str, width: int, percen
         for _, rows in _grouped(batches, 1):
             unique = {(a, b): s for a, b, s in rows}
             names = sorted(unique)
-            label, _ = join([np.frombuffer(unique[k], dtype=np.uint64) for k in names], lambda t: _back(t, sent, bits), percent)
+            label, _ = join([np.frombuffer(unique[k], dtype=np.uint64) for k in names], lambda t: _back(t, sent), percent)
             size = np.bincount(label, minlength=len(names))
             out = [(*names[i], names[r][0]) for i, r in enumerate(label.tolist()) if size[r] > 1]
             if out:
@@ -582,7 +588,7 @@ def _near_duplicates(docs: DataFrame, text: str, row_id: str, width: int, percen
 
 def _divided(members: DataFrame, percent: int, sent, bits: int, parts: int) -> DataFrame:
     """key, key2, label for the texts of groups that are too large for one task."""
-    back_of = lambda t: _back(t, sent, bits)
+    back_of = lambda t: _back(t, sent)
     rows = members.select("root", "blocks", F.pmod(F.xxhash64(F.lit(1), "key", "key2"), F.col("blocks")).cast("int").alias("x"), F.xxhash64("key", "key2").alias("u"), "key", "key2", "set")
     rows = stored(rows.repartition(parts, "root", "x").dropDuplicates(["root", "x", "u"]))
 
@@ -658,7 +664,7 @@ def _prefixes(percent: int, sent, bits: int):
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
                 root, x, u, other = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-                heads = [_head(np.frombuffer(s, dtype=np.uint64), percent, sent, bits) for s in part.column(4).to_pylist()]
+                heads = [_head(np.frombuffer(s, dtype=np.uint64), percent, sent) for s in part.column(4).to_pylist()]
                 n = [len(h) for h in heads]
                 tokens = np.concatenate(heads) ^ np.repeat(root.view(np.uint64) * _FACTORS[0], n)
                 order = np.argsort(tokens, kind="stable")

@@ -498,6 +498,22 @@ def test_large_groups_lose_no_link(spark, kind):
     assert got == brute_groups(docs)
 
 
+def test_all_common_shingles_come_late_in_the_order(spark):
+    n, words = 590, 3000  # some 660,000 shingles among the leading ones, in three texts each, and as many texts of one word's difference
+    docs = spark.range(3 * n).selectExpr(f"concat(array_join(transform(sequence(id div 3 * {words}, id div 3 * {words} + {words} - 1), x -> string(x)), ' '), ' last', id % 3) AS text")
+    bits, slot_bits = 3, jaccard_join._slot_bits(3 * n * (words - 4), 3)
+    levels = jaccard_join._common(docs, "text", 5, 75, bits, slot_bits)
+    assert len(levels) == 1 << slot_bits
+    sent = type("Sent", (), {"value": levels})
+    for j in range(0, n, 7):
+        s = jaccard_join.shingles(jaccard_join.word_hashes([" ".join(map(str, range(j * words, (j + 1) * words))).encode()])[0], 5)
+        assert (jaccard_join._back(s[: jaccard_join.prefix(len(s), 75)], sent) > 0).all()
+    often = spark.range(64).selectExpr("concat('one two three four five ', id, ' x y z ', id) AS text").union(spark.range(3).selectExpr("concat('six seven eight nine ten ', id + 100) AS text"))
+    sent.value = jaccard_join._common(often, "text", 5, 1, 3, 16)
+    of = lambda t: int(jaccard_join._back(jaccard_join.shingles(jaccard_join.word_hashes([t])[0], 5), sent)[0])
+    assert of(b"one two three four five") > of(b"six seven eight nine ten") > 0 == of(b"nothing that is written there")
+
+
 def test_words_longer_than_a_buffer(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_BYTES", 50)
     jaccard_join._tables.clear()
