@@ -26,6 +26,19 @@ def odd_docs(spark, extra="score string, ids string, shares string, row_no long,
     return spark.createDataFrame(rows, "doc_id long, text string, " + extra)
 
 
+def test_python_gets_each_text_once(spark, monkeypatch):
+    sent = []
+    for module in (language_id, decontamination):
+        monkeypatch.setattr(module, "map_slices", lambda df, *rest, whole=module.map_slices: sent.append(df.columns) or whole(df, *rest))
+    docs = odd_docs(spark, "lang string, text_in string, text_bytes string")
+    rows = sorted(docs.collect(), key=repr)
+    items = spark.createDataFrame([("i", "word")], "item_id string, text string")
+    for out in (language_id.identify(docs), decontamination.find_contamination(docs, items), sentencepiece_codec.encode_decode(docs, piece_model())):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert sorted(out.select(docs.columns).collect(), key=repr) == rows
+    assert [(len(c), "text" in c) for c in sent] == [(len(docs.columns), False)] * 2
+
+
 # ---- 1 exact top-k
 
 
