@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mapweave.llm import decontamination, jaccard_join, language_id, secret_scan, sentencepiece_codec
-from mapweave.llm.common import free_name, residue, small_batches, stored, table
+from mapweave.llm.common import free_name, keep_batches_small, residue, small_batches, stored, table
 from mapweave.llm.queries import piece_model, token_digests
 
 #: Ids that are sent to all executors at most (8 bytes each, some 30 MB with their index); beyond, the join is left to a shuffle.
@@ -30,7 +30,8 @@ def _restored(df: DataFrame, away: dict[str, str], docs: DataFrame) -> DataFrame
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language can be told."""
+    """Keep documents whose language can be told. Arrow batches stay small for the session: the result is computed later, as other stages' are."""
+    keep_batches_small(spark)
     own, away = _shielded(docs, language_id.COLUMNS)
     found = language_id.identify(own, usable=residue("doc_id", 3) != 1)
     return _restored(found.where(language_id.accepted(F.col("lang_pred"), F.col("score"))), away, docs)

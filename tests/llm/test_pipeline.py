@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from test_llm_operators import brute_contamination, brute_groups
@@ -79,3 +80,28 @@ def test_encoding_takes_small_batches(spark, monkeypatch):
     out = corpus_pipeline.encode(spark, spark.createDataFrame([(1, "Some words"), (2, "")], "doc_id long, text string"), "")
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # computed inside
     assert seen == ["500"] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before and out.count() == 2
+
+
+def test_languages_are_identified_in_small_batches(spark, monkeypatch):
+    """The stage's frame is computed after the stage has returned; batches must be small even then."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sized(docs, usable):
+        def run(batches):
+            for b in batches:
+                n = pa.array([float(b.num_rows)] * b.num_rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(["en"] * b.num_rows), n], [*b.schema.names, "lang_pred", "score"])
+
+        return docs.mapInArrow(run, "doc_id long, text string, lang_pred string, score double")
+
+    monkeypatch.setattr(language_id, "identify", sized)
+    monkeypatch.setattr(language_id, "accepted", lambda lang, score: score <= 500)
+    try:
+        docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+        assert corpus_pipeline.identify_languages(spark, docs, SF).count() == 3000
+        spark.conf.set(key, "100")
+        corpus_pipeline.identify_languages(spark, docs, SF)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)
