@@ -284,3 +284,38 @@ def test_coherence_by_broadcast_and_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(coherence, "BROADCAST_PAIRS", 0)
     rounded = lambda df: {(r.table_idx, r.col_idx, round(r.score, 12)) for r in df.collect()}
     assert rounded(few) == rounded(coherence.coherence(cells)) and len(rounded(few)) == 8
+
+
+def test_candidates_with_the_same_pairs_are_compared_once(spark, monkeypatch):
+    """All of them met at each value, so that rows grew with the square of the candidates."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    rng, seen, shared = random.Random(3), [], synthesis._shared
+    monkeypatch.setattr(synthesis, "_shared", lambda rows, keys, name: seen.append((rows.count(), keys)) or shared(rows, keys, name))
+    sets = [[("a", "x"), ("b", "y"), ("c", "z")], [("a", "x"), ("b", "z")], [("a", "x"), ("a", "x"), ("d", "y")], [("e", "w")]]
+    held = [rng.choice(sets) for _ in range(24)] + [[("e", "w")], [("q", "w")]]
+    rows = [(c, i, *p) for c, ps in enumerate(held) for i, p in enumerate(ps)]
+    rng.shuffle(rows)
+    p = spark.createDataFrame(rows, "cand long, pos int, l string, r string")
+    want, scores = {}, {}
+    for i, j in combinations(range(len(held)), 2):
+        x, y = Counter(held[i]), Counter(held[j])
+        lefts = {a for a, _ in x} & {a for a, _ in y}
+        if lefts:
+            want[i, j] = (sum(x[k] * y[k] for k in x), len(lefts))
+            clashes = {a for a, b in x if any(a == c and b != d for c, d in y)}
+            small = min(len(held[i]), len(held[j]))
+            scores[i, j] = (len(x.keys() & y.keys()) / small, -len(clashes) / small)
+    edges = graph.checkpointed(synthesis.overlap_edges(p, 0))
+    assert {(r.ci, r.cj): (r.shared_pairs, r.shared_lefts) for r in edges.collect()} == want and edges.count() == len(want)
+    assert [n for n, keys in seen if keys == ["l", "r"]] == [10]  # of the sets' pairs, not of 26 candidates'
+    for matcher in (None, synthesis.edit_matcher):
+        assert {(r.ci, r.cj): (r.w_pos, r.w_neg) for r in synthesis.edge_scores(p, edges, matcher).collect()} == scores
+    capped = {(r.ci, r.cj) for r in synthesis.overlap_edges(p, 0, 3).collect()}  # buckets count all candidates
+    n = Counter(a for ps in held for a in {a for a, _ in ps})
+    m = Counter(q for ps in held for q in ps)
+    assert capped == {(i, j) for i, j in want if any(n[a] <= 3 for a in {a for a, _ in held[i]} & {a for a, _ in held[j]}) or any(m[q] <= 3 for q in set(held[i]) & set(held[j]))}
+    monkeypatch.setattr(synthesis, "BROADCAST_ROWS", 0)
+    assert {(r.ci, r.cj): (r.w_pos, r.w_neg) for r in synthesis.edge_scores(p, synthesis.overlap_edges(p, 0)).collect()} == scores
