@@ -187,3 +187,23 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.window.start.hour, r.event_type, r.n, r.total) for r in spark.table("windows").collect()} >= {(0, "a", 2, 3.0), (1, "b", 1, 1.5)}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_merging_in_tables_equals_a_full_scan(seed):
+    import numpy as np
+
+    rng = random.Random(seed)
+    n = rng.randrange(3, 16)
+    edges = [(3 * a, 3 * b, rng.choice([0.0, 0.25, 0.5, 0.75, 1.0]), rng.choice([0.0, 0.0, -0.125, -0.5])) for a in range(n) for b in range(a + 1, n) if rng.random() < rng.choice([0.5, 0.9, 1.0])]
+    rng.shuffle(edges)
+    members = sorted({m for e in edges for m in e[:2]})
+    if edges:
+        got = synthesis.merge_dense(*map(np.array, zip(*edges)), -0.25)
+        assert sorted(map(sorted, got)) == naive_merge(edges, members, -0.25)
+
+
+def test_a_component_with_all_edges(spark):
+    scores = spark.range(90).selectExpr("id AS ci").crossJoin(spark.range(90).selectExpr("id AS cj")).where("ci < cj").selectExpr("ci", "cj", "IF((cj - ci) % 3 = 0, 1.0D, 0.6D) AS w_pos", "IF((cj - ci) % 3 = 0, 0.0D, -0.4D) AS w_neg")
+    parts = {r.cand: r.partition for r in synthesis.greedy_partition(scores, spark.range(90).toDF("cand"), -0.2, 0.5).collect()}
+    assert parts == {k: k % 3 for k in range(90)}
