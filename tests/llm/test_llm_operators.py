@@ -215,6 +215,32 @@ def test_languages_of_odd_texts(spark):
 # ---- 4 language-model scoring
 
 
+def test_runs_of_windows_are_independent():
+    rng, size = np.random.default_rng(1), lm_scoring.BLOCK
+    net = lm_scoring.Attention(10)
+    rows, target = rng.integers(-1, 10, size=(5, 4, size)), rng.integers(-1, lm_scoring.CLASSES, size=(5, 3, size))
+    loss, g = net.step(rows, target)
+    share = (target >= 0).sum(axis=(1, 2)) / (target >= 0).sum()
+    each = [net.step(r, t) for r, t in zip(rows, target)]
+    assert np.isclose(loss, sum(s * x for s, (x, _) in zip(share, each)))
+    for k in g:
+        assert np.allclose(g[k], sum(s * x[k] for s, (_, x) in zip(share, each)))
+
+
+def test_neighbours_against_plain_counts():
+    rng, n = np.random.default_rng(2), 50
+    side = rng.integers(lm_scoring.SIDE, size=n)
+    seqs = [rng.integers(n, size=k).astype(np.int32) for k in (1, 2, 7, 300, 1)]
+    table, plain = (np.zeros((n, 2 * lm_scoring.SIDE), dtype=np.int32) for _ in range(2))
+    for part in (seqs, seqs[:1], seqs[2:]):
+        lm_scoring.neighbours(part, side, table)
+        for s in part:
+            for x, y in zip(s[:-1], s[1:]):
+                plain[y, side[x]] += 1
+                plain[x, lm_scoring.SIDE + side[y]] += 1
+    assert (table == plain).all() and table.max() > 1
+
+
 def test_gradients():
     net, rng = lm_scoring.Attention(10), np.random.default_rng(0)
     rows, t = rng.integers(10, size=(4, lm_scoring.BLOCK)), rng.integers(lm_scoring.CLASSES, size=(3, lm_scoring.BLOCK))
