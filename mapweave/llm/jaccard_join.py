@@ -3,10 +3,11 @@
 A document's set holds its distinct shingles of `width` consecutive words (A-Z in lower case), as 64-bit hashes; a shorter document is one
 shingle, and one without words has none. Two documents link when 100 * |A & B| >= percent * |A | B|.
 
-Shingles are in one global order: the rare ones first (by hash), then the common ones by frequency. Two sets that link share a shingle among
-the first |A| - ceil(percent * |A| / 100) + 1 of each. So (1) equal texts count as one, (2) prefixes are
-brought together by shingle, and documents that share one and are of fitting sizes form candidate groups, found as components
-of a graph with a chain of edges for each shingle, never with all pairs; (3) a group's sets go to one task, once, where they are stored in a
+Shingles are in one global order: the rare ones first (by hash), then the common ones by frequency, then those with large hashes, which are not counted. Two sets that link share a shingle among
+the first |A| - ceil(percent * |A| / 100) + 1 of each, and k of them where the prefixes are k - 1 longer. So (1) equal texts count as one, (2)
+prefixes, longer by a twentieth of the set where rare shingles fill them, are brought together by shingle, and documents of fitting sizes that share enough of them form candidate
+groups, found as components of a graph: a shingle of up to `PAIRED` texts counts for each pair of them, and pairs with fewer than k get no edge (chance
+brings single shingles together, ever more as the corpus grows); one of more texts gives a chain of edges, never all pairs; (3) a group's sets go to one task, once, where they are stored in a
 trie in the global order, read from its other end: the frequent shingles lie at the top, where sets share them. Each set walks the trie, shares the
 overlap with all sets below a node, and leaves subtrees that cannot reach the needed overlap by the remaining lengths or sizes.
 
@@ -35,6 +36,10 @@ from pyspark.sql import functions as F
 from mapweave.llm.common import map_slices, relax, slices, small_batches, stored
 from mapweave.llm.components import components, forest
 
+#: Texts that share a prefix shingle and are counted as pairs; more are chained. A set shares one more shingle for each `SHARE` that it has.
+PAIRED, SHARE = 8, 20
+#: Marks of a size, below 2 ** 30: its shingle was chained before; its prefix is a longer one. What an edge of a chain counts.
+_CHAINED, _LONGER, _SIZE, _ENOUGH = np.uint32(1 << 31), np.uint32(1 << 30), np.uint32((1 << 30) - 1), 1 << 20
 #: The number of texts beyond which a shingle is common, and levels of frequency for each doubling.
 COMMON, LEVELS = 2, 12
 #: The table of levels has a slot for SLOT_SHINGLES shingles of all documents, 2 ** SLOT_BITS slots at most.
@@ -131,6 +136,21 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(n):
+    """How many shingles of prefixes longer by as many less one a set of n shares with any that it links with (of two sets, the smaller number)."""
+    return 1 + n // SHARE
+
+
+def longer(percent: int) -> float:
+    """How many times a prefix a longer one is, about."""
+    return 1 + 100 / (SHARE * (101 - percent))
+
+
+def counted_below(percent: int) -> np.uint64:
+    """The hash below which frequencies are counted: half as many again as a longer prefix of a set, about, have a smaller one."""
+    return np.uint64(int(min(1.0, 1.5 * longer(percent) * (101 - percent) / 100) * ((1 << 64) - 1025)))
+
+
 def _words(part: pa.RecordBatch) -> list[np.ndarray]:
     return word_hashes([t or b"" for t in part.column(0).to_pylist()])
 
@@ -177,12 +197,12 @@ def _slot_bits(total: int, bits: int) -> int:
 
 def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int, slot_bits: int) -> np.ndarray:
     """Levels of frequency by a shingle's leading bits, 0 for rare ones: the higher, the further back in the order. They are counted over
-    the leading shingles (half as many again as a prefix) of all documents; a slot has the level of its most frequent shingle."""
+    the shingles with small hashes of all documents; a slot has the level of its most frequent shingle."""
     own_bits = slot_bits - bits
 
     def counted(batches):
         def work(sets, _):
-            tokens, n = np.unique(np.concatenate([s[: int(1.5 * prefix(len(s), percent)) + 1] for s in sets]), return_counts=True)
+            tokens, n = np.unique(np.concatenate([s[: np.searchsorted(s, counted_below(percent))] for s in sets]), return_counts=True)
             short = ((tokens << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             for b, part in enumerate(_bucketed(tokens, bits)):
                 if part.stop > part.start:
@@ -190,7 +210,7 @@ def _common(docs: DataFrame, text: str, width: int, percent: int, bits: int, slo
                     extra = np.stack([more, n[part][more] - 1]).astype(np.uint32)
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([short[part].tobytes()], pa.binary()), pa.array([extra.tobytes()], pa.binary())], ["bucket", "tokens", "extra"])
 
-        yield from _buffered(batches, width, percent, 1.5, work)
+        yield from _buffered(batches, width, percent, 1.5 * longer(percent), work)
 
     def summed(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         tokens, weights = [], []
@@ -227,10 +247,13 @@ def _back(s: np.ndarray, sent) -> np.ndarray:
     return levels[s >> np.uint64(65 - len(levels).bit_length())]
 
 
-def _head(s: np.ndarray, percent: int, sent) -> np.ndarray:
-    """The prefix of a sorted set in the global order."""
-    p, back = prefix(len(s), percent), _back(s, sent)
+def _head(s: np.ndarray, percent: int, sent, shared: int = 1) -> np.ndarray:
+    """The prefix of a sorted set in the global order; where rare shingles are enough, one that holds `shared` shingles of each set that it links with."""
+    p, back = prefix(len(s), percent), _back(s, sent).astype(np.int16)
+    back[np.searchsorted(s, counted_below(percent)) :] = 256
     rare = s[back == 0]
+    if len(rare) >= p + shared - 1:
+        return rare[: p + shared - 1]
     if len(rare) >= p:
         return rare[:p]
     usual = back > 0
@@ -238,7 +261,7 @@ def _head(s: np.ndarray, percent: int, sent) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int, sent) -> DataFrame:
-    """Edges (a, b) between keys of texts that share a prefix shingle, as chains in order of size."""
+    """Edges (a, b) between keys of texts that share enough prefix shingles, or one of many texts; these as chains in order of size."""
 
     def listed(batches):
         from pyspark import TaskContext
@@ -246,28 +269,58 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
         turn = itertools.count(TaskContext.get().partitionId() * 7)
 
         def work(sets, keys):
-            heads = [_head(s, percent, sent) for s in sets]
+            heads = [_head(s, percent, sent, least_shared(len(s))) for s in sets]
             n = [len(x) for x in heads]
             tokens = np.concatenate(heads)
-            key, size = np.repeat(np.array(keys, dtype=np.int64), n), np.repeat(np.array([len(s) for s in sets], dtype=np.int64), n)
-            order = np.lexsort((size, tokens))
-            tokens, key, size = tokens[order], key[order], size[order]
-            edges, keep = chained(tokens, key, size)
+            full = [len(s) | (int(_LONGER) if len(h) > prefix(len(s), percent) else 0) for s, h in zip(sets, heads)]
+            key, size = np.repeat(np.array(keys, dtype=np.int64), n), np.repeat(np.array(full, dtype=np.uint32), n)
+            tokens, key, size = in_order(tokens, key, size)
+            keep = np.repeat(*runs(tokens)) <= PAIRED
+            many = np.flatnonzero(~keep)
+            edges, keep[many] = chained(tokens[many], key[many], size[many])
+            size[many] |= _CHAINED
             tokens, key, size = tokens[keep], key[keep], size[keep]
             if edges.shape[1]:  # they need no certain bucket
                 yield row(next(turn) % (1 << bits), b"", edges[0].tobytes(), edges[1].tobytes())
             for b, part in enumerate(_bucketed(tokens, bits)):
                 if part.stop > part.start:
-                    yield row(b, tokens[part].tobytes(), key[part].tobytes(), size[part].astype(np.uint32).tobytes())
+                    yield row(b, tokens[part].tobytes(), key[part].tobytes(), size[part].tobytes())
 
-        yield from _buffered(batches, width, percent, 1, work)
+        yield from _buffered(batches, width, percent, longer(percent), work)
 
     def row(b, t, k, s):
         return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *(pa.array([x], pa.binary()) for x in (t, k, s))], ["bucket", "tokens", "keys", "sizes"])
 
+    def runs(tokens):
+        """The length of each run of equal numbers, twice: to be repeated by itself."""
+        n = np.diff(np.r_[np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]), len(tokens)]) if len(tokens) else np.zeros(0, dtype=np.int64)
+        return n, n
+
+    def in_order(tokens, key, size):
+        """By shingle and size, each text once; of equal rows one that was chained stays."""
+        order = np.lexsort((~size, key, size & _SIZE, tokens))
+        tokens, key, size = tokens[order], key[order], size[order]
+        once = np.ones(len(tokens), dtype=bool)
+        once[1:] = (tokens[1:] != tokens[:-1]) | (key[1:] != key[:-1])
+        return tokens[once], key[once], size[once]
+
+    def paired(tokens, key, size):
+        """Each pair of texts of fitting sizes: a, b, how many shingles they share here, and how many they must share in all."""
+        found = [np.zeros((3, 0), dtype=np.int64)]
+        need, size = np.where(size & _LONGER, least_shared(size & _SIZE), 1).astype(np.int64), (size & _SIZE).astype(np.int64)
+        for d in range(1, PAIRED):
+            i = np.flatnonzero((tokens[d:] == tokens[:-d]) & (100 * size[:-d] >= percent * size[d:]))
+            found.append(np.stack([np.minimum(key[i], key[i + d]), np.maximum(key[i], key[i + d]), np.minimum(need[i], need[i + d])]))
+        a, b, need = np.concatenate(found, axis=1)
+        order = np.lexsort((b, a))
+        a, b, need = a[order], b[order], need[order]
+        first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+        return a[first], b[first], np.diff(np.r_[first, len(a)]), need[first]
+
     def chained(tokens, key, size):
         """Edges between neighbours in (token, size), and which entries others still need: of a long chain every entry may go without which
         its neighbours still fit each other, for what fits between them fits one of them."""
+        size = (size & _SIZE).astype(np.int64)
         same = (tokens[1:] == tokens[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (key[1:] != key[:-1])
         a, b = key[:-1][same], key[1:][same]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
@@ -291,9 +344,10 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
             if t:
                 tokens.append(np.frombuffer(t, dtype=np.uint64))
                 keys.append(k)
-                sizes.append(np.frombuffer(n, dtype=np.uint32).astype(np.int64))
+                sizes.append(np.frombuffer(n, dtype=np.uint32))
             else:
                 edges.append(np.stack([k, np.frombuffer(n, dtype=np.int64)]))
+        count = need = a = b = np.zeros(0, dtype=np.int64)
         if tokens:
             tokens, keys, sizes = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
             order = np.argsort(tokens, kind="stable")
@@ -301,15 +355,23 @@ def _candidates(docs: DataFrame, text: str, width: int, percent: int, bits: int,
             again = np.r_[False, tokens[1:] == tokens[:-1]]
             again[:-1] |= again[1:]  # only what two texts have
             tokens, keys, sizes = tokens[again], keys[order][again], sizes[order][again]
-            order = np.lexsort((keys, sizes, tokens))
-            edges.append(chained(tokens[order], keys[order], sizes[order])[0])
-        a, b = forest(*np.concatenate(edges, axis=1))
+            tokens, keys, sizes = in_order(tokens, keys, sizes)
+            many = np.repeat(*runs(tokens)) > PAIRED
+            many |= np.isin(tokens, tokens[sizes >= _CHAINED])
+            edges.append(chained(tokens[many], keys[many], sizes[many])[0])
+            a, b, count, need = paired(tokens[~many], keys[~many], sizes[~many])
+            sure = count >= need
+            edges.append(np.stack([a[sure], b[sure]]))
+            a, b, count, need = a[~sure], b[~sure], count[~sure], need[~sure]
+        x, y = forest(*np.concatenate(edges, axis=1))
         del tokens, keys, sizes, edges
         relax()
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+        enough = np.full(len(x), _ENOUGH)
+        return pa.table({c: pa.array(np.concatenate(v)) for c, v in (("a", (x, a)), ("b", (y, b)), ("count", (enough, count)), ("need", (enough, need)))})
 
     rows = _texts(docs, text).mapInArrow(listed, "bucket int, tokens binary, keys binary, sizes binary")
-    return rows.groupBy("bucket").applyInArrow(linked, "a long, b long")
+    pairs = rows.groupBy("bucket").applyInArrow(linked, "a long, b long, count long, need long")
+    return pairs.groupBy("a", "b").agg(F.sum("count").alias("count"), F.min("need").alias("need")).where("count >= need").select("a", "b")
 
 
 class Trie:

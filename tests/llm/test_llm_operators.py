@@ -553,6 +553,22 @@ def test_all_common_shingles_come_late_in_the_order(spark):
     assert of(b"one two three four five") > of(b"six seven eight nine ten") > 0 == of(b"nothing that is written there")
 
 
+def test_near_duplicates_chance_shingles_make_no_groups(spark):
+    """Long texts in a row, each with a short run of words of the next one: no candidates, but near copies are."""
+    words = [[f"w{i}x{j}" for j in range(200)] for i in range(60)]
+    for i in range(59):
+        words[i + 1][:12] = words[i][-12:]  # 8 shingles of 196
+    near = [w[:190] + ["other"] * 10 for w in words[:7]]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words + near)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sent = spark.sparkContext.broadcast(jaccard_join._common(docs, "text", 5, 75, 3, 16))
+    edges = jaccard_join._candidates(docs, "text", 5, 75, 3, sent).collect()
+    key = {jaccard_join.key_of(jaccard_join.word_hashes([t.encode()])[0])[0]: i for i, t in rows}
+    assert {tuple(sorted((key[a], key[b]))) for a, b in edges} == {(i, 60 + i) for i in range(7)}
+    got = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()}
+    assert got == {i: i if i < 60 else i - 60 for i in range(67)}
+
+
 def test_words_longer_than_a_buffer(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "_BYTES", 50)
     jaccard_join._tables.clear()
