@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,27 @@ def test_candidates_with_the_same_pairs_are_compared_once(spark, monkeypatch):
     assert capped == {(i, j) for i, j in want if any(n[a] <= 3 for a in {a for a, _ in held[i]} & {a for a, _ in held[j]}) or any(m[q] <= 3 for q in set(held[i]) & set(held[j]))}
     monkeypatch.setattr(synthesis, "BROADCAST_ROWS", 0)
     assert {(r.ci, r.cj): (r.w_pos, r.w_neg) for r in synthesis.edge_scores(p, synthesis.overlap_edges(p, 0)).collect()} == scores
+
+
+def test_partition_pairs_is_the_greedy_one_without_edges(spark, monkeypatch):
+    """Twins in families with and without conflicts, small ones whose copies don't meet, against the merge of all edges."""
+    rng, rows = random.Random(11), []
+    for cand in range(60):
+        family = rng.randrange(5)
+        size = 2 if family == 4 else 8
+        for k in range(size):
+            right = rng.choice("ab") if family == 1 and k < 3 else "c" if family == 2 and k == 0 and rng.random() < 0.5 else "r"
+            rows.append((cand, f"f{family}k{k}", right))
+    pairs, cands = graph.checkpointed(spark.createDataFrame(rows, "cand long, l string, r string")), spark.range(61).toDF("cand")
+    for theta in (0.5, 0.85):
+        scores = synthesis.edge_scores(pairs, synthesis.overlap_edges(pairs, 3))
+        want = {r.cand: r.partition for r in synthesis.greedy_partition(scores, cands, -0.2, theta).collect()}
+        assert {r.cand: r.partition for r in synthesis.partition_pairs(pairs, cands, 3, theta_edge=theta).collect()} == want
+    assert len(set(want.values())) > 10
+
+    def never(*_):
+        raise AssertionError("edges of candidates")
+
+    monkeypatch.setattr(synthesis, "greedy_partition", never)
+    easy = pairs.where("l NOT LIKE 'f1%'")
+    assert synthesis.partition_pairs(easy, cands, 3).count() == 61
